@@ -45,9 +45,13 @@ GROUP_ROWS = 1_000_000
 CHANCE = 0.02
 #: Rows whose shingles tell which are frequent, and how many such shingles are used at most. They steer costs only; any choice gives the same links.
 SAMPLE, FREQUENT = 4000, 100_000
+#: Up to so many rows of two numbers are broadcast (32 MB); more are joined by a shuffle.
+BROADCAST_ROWS = 2_000_000
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
-_word_hash: dict[bytes, int] = {}
+#: Table entries for 64 places of a byte in its word and each of its values; and one number for each length of a sequence.
+_TABLE = np.random.default_rng(20).integers(0, 2**64, 64 * 256, np.uint64)
+_LENGTH = np.random.default_rng(21).integers(0, 2**64, WIDTH + 1, np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -56,24 +60,44 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingles(text: bytes | None) -> np.ndarray:
-    """The distinct shingles of a text (UTF-8) as sorted 64-bit hashes."""
-    words = text.lower().split() if text else []
-    if not words:
-        return np.empty(0, np.uint64)
-    if len(_word_hash) > 1_000_000:
-        _word_hash.clear()
-    known = _word_hash
-    for w in set(words):
-        if w not in known:
-            known[w] = xxhash.xxh3_64_intdigest(w)
-    h = np.fromiter((known[w] for w in words), np.uint64, len(words))
-    width = min(WIDTH, len(h))
-    n = len(h) - width + 1
-    out = np.full(n, width * 0x9FB21C651E98DF25 & (2**64 - 1), np.uint64)
-    for k in range(width):
-        out += h[k : k + n] * _FACTORS[k]
-    return np.unique(mix(out))
+def shingle_sets(texts: list[bytes | None]) -> list[np.ndarray]:
+    """For each text (UTF-8) its distinct shingles as sorted 64-bit hashes. All texts of the list are hashed in one go.
+
+    A word's hash sums a table entry for each byte and its place in the word; a shingle's sums its words' by place.
+    """
+    flat = np.frombuffer(b" ".join(t or b"" for t in texts) + b" ", np.uint8)
+    lengths = np.fromiter((len(t or b"") + 1 for t in texts), np.int64, len(texts))
+    flat = np.where((flat >= 65) & (flat <= 90), flat + np.uint8(32), flat)
+    inside = ~((flat == 32) | ((flat >= 9) & (flat <= 13)))
+    edge = np.diff(np.r_[False, inside, False].view(np.int8))
+    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    if not len(start):
+        return [np.empty(0, np.uint64)] * len(texts)
+    size = end - start
+    letters = flat[inside].astype(np.int32)
+    at = np.cumsum(size) - size
+    place = (np.arange(len(letters)) - np.repeat(at, size)).astype(np.int32)
+    value = _TABLE[((place & 63) << 8) | letters]
+    if size.max() > 64:
+        value *= (2 * (place >> 6) + 1).astype(np.uint64)
+    h = mix(np.add.reduceat(value, at) + size.astype(np.uint64))
+    first = np.searchsorted(start, np.cumsum(lengths) - lengths)
+    count = np.diff(np.r_[first, len(h)])
+    whole = np.zeros(max(0, len(h) - WIDTH + 1), np.uint64) + _LENGTH[WIDTH]
+    for k in range(WIDTH):
+        whole += h[k : k + len(whole)] * _FACTORS[k]
+    whole = mix(whole)
+    out = []
+    for f, n in zip(first.tolist(), count.tolist()):
+        if n >= WIDTH:
+            x = np.sort(whole[f : f + n - WIDTH + 1])
+            new = x[1:] != x[:-1]
+            out.append(x if new.all() else x[np.r_[True, new]])
+        elif n:
+            out.append(mix(np.array([_LENGTH[n]]) + (h[f : f + n] * _FACTORS[:n]).sum(dtype=np.uint64)))
+        else:
+            out.append(np.empty(0, np.uint64))
+    return out
 
 
 def class_of(s: np.ndarray, seed: int) -> tuple[int, bytes]:
@@ -134,16 +158,16 @@ def signatures(s: np.ndarray, frequent: np.ndarray, n_sets: int) -> np.ndarray:
             continue
         if rare is None:
             at = np.searchsorted(frequent, s)
-            rare = np.r_[0, np.cumsum(frequent[np.minimum(at, len(frequent) - 1)] != s if len(frequent) else np.ones(n, bool))]
+            rare = np.r_[0, np.cumsum(frequent[np.minimum(at, len(frequent) - 1)] != s)] if len(frequent) else np.arange(n + 1)
         sig = mix(sums + tag)
-        order = np.lexsort((sig, size, rare[start[1:]] - rare[start[:-1]]))  # costliest first
-        out.append(sig[order[k:]])
-    return np.unique(np.concatenate(out)) if out else np.empty(0, np.uint64)
+        few = np.minimum(rare[start[1:]] - rare[start[:-1]], 255).astype(np.uint64)
+        cost = (few << np.uint64(56)) | (np.minimum(size, 255).astype(np.uint64) << np.uint64(48)) | (sig >> np.uint64(16))  # costliest least
+        out.append(sig[cost >= np.partition(cost, k)[k]])
+    return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
-def _sets(batch_column):
-    for t in batch_column:
-        yield shingles(t.as_py())
+def _sets(batch_column) -> list[np.ndarray]:
+    return shingle_sets(batch_column.to_pylist())
 
 
 def _text(docs: DataFrame) -> DataFrame:
@@ -161,7 +185,7 @@ def classify(docs: DataFrame, seeds: int = 8) -> tuple[DataFrame, int]:
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(number, pa.int64()), pa.array(digest, pa.binary())], names=["doc_id", "n_shingles", "class", "digest"])
 
         rows = materialise(_text(docs).mapInArrow(run, f"doc_id {kind}, n_shingles long, class long, digest binary"), "sets")
-        if not rows.groupBy("class").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a <> b").limit(1).count():
+        if not rows.groupBy("class", "digest").agg(F.lit(1)).groupBy("class").count().where("count > 1").limit(1).count():
             return rows.drop("digest"), seed
     raise RuntimeError("no seed gives one class for each set")
 
@@ -172,7 +196,7 @@ def frequent_shingles(docs: DataFrame, n_docs: int) -> np.ndarray:
 
     def run(batches):
         for b in batches:
-            sets = list(_sets(b.column(1)))
+            sets = _sets(b.column(1))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64))], names=["s"])
 
     rows = _text(docs).where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).mapInArrow(run, "s long")
@@ -237,15 +261,19 @@ def buckets(docs: DataFrame, seed: int, n_sets: int, n_shingles: int, frequent:
 def sets_of(docs: DataFrame, rows: DataFrame, wanted: DataFrame, seed: int) -> DataFrame:
     """class and set (sorted hashes) of the wanted classes, from one document of each."""
     first = rows.groupBy("class").agg(F.min("doc_id").alias("d2"))
-    first = first.join(wanted.select("class").distinct(), "class").withColumnRenamed("class", "c2")
-    found = _text(docs).join(first, F.col("doc_id").eqNullSafe(F.col("d2"))).select("text", "c2")
+    first = materialise(first.join(wanted.select("class").distinct(), "class").withColumnRenamed("class", "c2"), "wanted")
+    few = first.count() <= BROADCAST_ROWS
+    found = _text(docs).join(F.broadcast(first) if few else first, F.col("doc_id").eqNullSafe(F.col("d2"))).select("text", "c2")
 
     def run(batches):
         for b in batches:
-            out = [(c.as_py(), s.tobytes()) for s, c in zip(_sets(b.column(0)), b.column(1)) if class_of(s, seed)[0] == c.as_py()]
+            out = [(c, s.tobytes()) for s, c in zip(_sets(b.column(0)), b.column(1).to_pylist()) if class_of(s, seed)[0] == c]
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.binary())], names=["class", "set"])
 
-    return materialise(found.mapInArrow(run, "class long, set binary").dropDuplicates(["class"]), "class-sets")
+    sets = found.mapInArrow(run, "class long, set binary")
+    if rows.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        sets = sets.dropDuplicates(["class"])  # rows that share a doc_id can show a class twice
+    return materialise(sets, "class-sets")
 
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
