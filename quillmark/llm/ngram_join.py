@@ -5,8 +5,9 @@ each band the space of shingle hashes is cut into m ranges, the segments. Two li
 most H shingles, so by the pigeonhole principle
 
 * of m = H + 1 + k segments at least k + 1 are equal in both. A set leaves out its k costliest segments, in an order
-  that depends on the content of a segment alone, and indexes the rest: the cheapest of the equal ones is left out by
-  neither. Costly are segments with few shingles that are not frequent (empty ones first). Or
+  that depends on the content of a segment alone: the cheapest of the equal ones is left out by neither. Empty
+  segments cost most and are not indexed at all (unless a set has more than k); then cost is the number of sets that
+  share the segment, which is counted for all of them. Or
 * of m = H // 2 + 1 segments at least one differs in one shingle at most: a set indexes each segment and each of its
   one-deletion neighbours.
 
@@ -14,9 +15,10 @@ most H shingles, so by the pigeonhole principle
 are equal are one class from the start and sent on once a task.
 
 Linking. Signatures are dealt by hash range to groups of bounded size, and each bucket of classes that share one is
-kept once, by its members. Only stars are verified at first: the least class of a bucket against the others. Then
-classes that are linked already count as one, and only pairs across unlinked parts of a bucket are left; they are
-verified all, so no link between parts is lost and the pairs within a large group of copies never arise. Verification
+kept once, by its members, with the number of its segments. Only stars are verified at first: the least class of a
+bucket against the others; then what is still apart against HUBS members of the bucket's largest part. Classes that
+are linked count as one from there on, and only pairs across unlinked parts of a bucket are left; they are verified
+all, so no link between parts is lost and the pairs within a large group of copies never arise. Verification
 intersects whole shingle sets.
 
 Defined results: null text and text without words have an empty set and link with nothing; texts of one to four words
@@ -33,7 +35,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillmark.llm.common import materialise, small_batches, table, unused
@@ -43,8 +45,8 @@ WIDTH = 5
 GROUP_ROWS = 1_000_000
 #: Chance that a shingle of one set lies in another by accident, for the cost model.
 CHANCE = 0.02
-#: Rows whose shingles tell which are frequent, and how many such shingles are used at most. They steer costs only; any choice gives the same links.
-SAMPLE, FREQUENT = 4000, 100_000
+#: Members of a bucket's largest part that what is apart from it is held against, before all pairs across parts are.
+HUBS = 6
 #: Up to so many rows of two numbers are broadcast (32 MB); more are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -116,6 +118,9 @@ def bands(most: int = 2**31) -> list[tuple[int, int]]:
     return out
 
 
+_LEAST = np.array([x for x, _ in bands()])
+
+
 @lru_cache(maxsize=None)
 def allocate(band: int, n_sets: int) -> tuple[int, int, bool]:
     """(m, k, deletions) for pairs whose larger set is in the band. m = 0: only equal sets link."""
@@ -131,14 +136,14 @@ def allocate(band: int, n_sets: int) -> tuple[int, int, bool]:
     return plain, k, False
 
 
-def signatures(s: np.ndarray, frequent: np.ndarray, n_sets: int) -> np.ndarray:
-    """Signatures (64 bits) of a sorted set, in its own band and, if it can link with a set there, the next."""
+def signatures(s: np.ndarray, n_sets: int) -> list[tuple[int, int, np.ndarray]]:
+    """(band, room, signatures of 64 bits) of a sorted set, in its own band and, if it can link with a set there, the
+    next. room: how many of them, the costliest, the set may leave out."""
     n = len(s)
     if n == 0:
-        return np.empty(0, np.uint64)
-    b = int(np.searchsorted([x for x, _ in bands()], n, "right")) - 1
+        return []
+    b = int(np.searchsorted(_LEAST, n, "right")) - 1
     out = []
-    rare = None
     for g in (b, b + 1):
         if g > b and n * 5 // 4 < bands()[g][0]:
             continue
@@ -147,23 +152,18 @@ def signatures(s: np.ndarray, frequent: np.ndarray, n_sets: int) -> np.ndarray:
             continue
         segment = ((s >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)  # ranges of the hash, so in order
         start = np.searchsorted(segment, np.arange(m + 1, dtype=np.uint64))
-        size = np.diff(start)
         value = mix(s + np.uint64((g + 1) * int(_M2) & (2**64 - 1)))
         total = np.r_[np.uint64(0), np.cumsum(value, dtype=np.uint64)]
         sums = total[start[1:]] - total[start[:-1]]
         tag = mix(np.arange(m, dtype=np.uint64) * _FACTORS[0] + np.uint64(g * int(_FACTORS[1]) & (2**64 - 1)))
+        sig = mix(sums + tag)
         if deletions:
             owner = segment.astype(np.int64)
-            out += [mix(sums + tag), mix(sums[owner] - value + tag[owner])]
+            out.append((g, 0, np.unique(np.r_[sig, mix(sums[owner] - value + tag[owner])])))
             continue
-        if rare is None:
-            at = np.searchsorted(frequent, s)
-            rare = np.r_[0, np.cumsum(frequent[np.minimum(at, len(frequent) - 1)] != s)] if len(frequent) else np.arange(n + 1)
-        sig = mix(sums + tag)
-        few = np.minimum(rare[start[1:]] - rare[start[:-1]], 255).astype(np.uint64)
-        cost = (few << np.uint64(56)) | (np.minimum(size, 255).astype(np.uint64) << np.uint64(48)) | (sig >> np.uint64(16))  # costliest least
-        out.append(sig[cost >= np.partition(cost, k)[k]])
-    return np.concatenate(out) if out else np.empty(0, np.uint64)
+        empty = np.flatnonzero(start[1:] == start[:-1])[:k]
+        out.append((g, k - len(empty), np.delete(sig, empty)))
+    return out
 
 
 def _sets(batch_column) -> list[np.ndarray]:
@@ -190,34 +190,21 @@ def classify(docs: DataFrame, seeds: int = 8) -> tuple[DataFrame, int]:
     raise RuntimeError("no seed gives one class for each set")
 
 
-def frequent_shingles(docs: DataFrame, n_docs: int) -> np.ndarray:
-    """Shingles in 0.2 % and more of a sample of rows, at most FREQUENT."""
-    every = max(1, n_docs // SAMPLE)
-
-    def run(batches):
-        for b in batches:
-            sets = _sets(b.column(1))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64))], names=["s"])
-
-    rows = _text(docs).where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).mapInArrow(run, "s long")
-    least = max(4, n_docs // every // 500)
-    found = rows.groupBy("s").count().where(F.col("count") >= least).orderBy(F.desc("count"), "s").limit(FREQUENT).select("s").toPandas()["s"]
-    return np.sort(found.to_numpy(np.int64).view(np.uint64))
-
-
-def buckets(docs: DataFrame, seed: int, n_sets: int, n_shingles: int, frequent: np.ndarray) -> DataFrame:
-    """bucket, class and hub (the least class) for all sets of two and more classes that share a signature."""
+def buckets(docs: DataFrame, seed: int, n_sets: int, n_shingles: int) -> DataFrame:
+    """bucket and class for all sets of two and more classes that share a signature which is not left out."""
     groups = max(1, n_shingles * 6 // 10 // GROUP_ROWS)
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)  # FREQUENT numbers at most
 
     def flush(held):
-        number = np.concatenate([np.full(len(x), c, np.int64) for c, x in held])
-        sig = np.concatenate([x for _, x in held])
+        sizes = [len(x) for _, _, _, x in held]
+        number = np.repeat(np.array([c for c, _, _, _ in held], np.int64), sizes)
+        kind = np.repeat(np.array([(g << 8) | min(r, 255) for _, g, r, _ in held], "<u2"), sizes)
+        sig = np.concatenate([x for _, _, _, x in held])
         group = (((sig >> np.uint64(32)) * np.uint64(groups)) >> np.uint64(32)).astype(np.int64)
         order = np.argsort(group, kind="stable")
-        group, low, number = group[order], (sig[order] & np.uint64(0xFFFFFFFF)).astype("<u4"), number[order]
+        group, low, number, kind = group[order], (sig[order] & np.uint64(0xFFFFFFFF)).astype("<u4"), number[order], kind[order]
         cut = np.r_[np.flatnonzero(np.r_[True, np.diff(group) > 0]), len(group)]
-        return pa.RecordBatch.from_arrays([pa.array(group[cut[:-1]]), pa.array([low[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary()), pa.array([number[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary())], names=["part", "low", "number"])
+        slices = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(group[cut[:-1]]), slices(low), slices(number), slices(kind)], names=["part", "low", "number", "kind"])
 
     def emit(batches):
         seen: set[int] = set()
@@ -227,9 +214,8 @@ def buckets(docs: DataFrame, seed: int, n_sets: int, n_shingles: int, frequent:
                 c, _ = class_of(s, seed)
                 if len(s) and c not in seen:
                     seen.add(c)
-                    x = signatures(s, shared.value, n_sets)
-                    if len(x):
-                        held.append((c, x))
+                    for g, room, x in signatures(s, n_sets):
+                        held.append((c, g, room, x))
                         many += len(x)
             if many > 1_000_000:
                 yield flush(held)
@@ -238,24 +224,30 @@ def buckets(docs: DataFrame, seed: int, n_sets: int, n_shingles: int, frequent:
             yield flush(held)
 
     def meet(t: pa.Table) -> pa.Table:
-        low = np.concatenate([np.frombuffer(x, "<u4") for x in t.column("low").to_pylist()])
-        number = np.concatenate([np.frombuffer(x, np.int64) for x in t.column("number").to_pylist()])
-        order = np.lexsort((number, low))
-        low, number = low[order], number[order]
-        new = np.r_[True, (np.diff(low) != 0) | (np.diff(number) != 0)]
-        low, number = low[new], number[new]
-        start = np.flatnonzero(np.r_[True, np.diff(low) != 0])
+        low, number, kind = (np.concatenate([np.frombuffer(x, d) for x in t.column(c).to_pylist()]) for c, d in (("low", "<u4"), ("number", np.int64), ("kind", "<u2")))
+        band = kind >> 8
+        order = np.lexsort((number, band, low))
+        low, number, kind, band = low[order], number[order], kind[order], band[order]
+        key = (low[1:] != low[:-1]) | (band[1:] != band[:-1])
+        new = np.r_[True, key | (number[1:] != number[:-1])]  # tasks may each send a class
+        low, number, kind, band = low[new], number[new], kind[new], band[new]
+        start = np.flatnonzero(np.r_[True, (low[1:] != low[:-1]) | (band[1:] != band[:-1])])
         size = np.diff(np.r_[start, len(low)])
         total = np.r_[np.uint64(0), np.cumsum(mix(number.view(np.uint64)), dtype=np.uint64)]
         start, size = start[size > 1], size[size > 1]
-        name = mix(total[start + size] - total[start] + size.astype(np.uint64))  # of the members, so that equal buckets are one
-        name, first = np.unique(name, return_index=True)
+        name = mix(total[start + size] - total[start] + size.astype(np.uint64) * _FACTORS[2] + band[start] * _FACTORS[3])  # of band and members, so that equal buckets are one
+        name, first, many = np.unique(name, return_index=True, return_counts=True)
         start, size = start[first], size[first]
         pick = np.repeat(start - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum()) if len(size) else np.empty(0, np.int64)
-        return pa.table({"bucket": np.repeat(name.view(np.int64), size), "class": number[pick], "hub": np.repeat(number[start], size)})
+        wide = lambda x: np.repeat(x, size).astype(np.int64)
+        return pa.table({"bucket": np.repeat(name.view(np.int64), size), "class": number[pick], "band": band[pick].astype(np.int64), "room": (kind[pick] & 255).astype(np.int64), "size": wide(size), "many": wide(many)})
 
-    parts = _text(docs).mapInArrow(emit, "part long, low binary, number binary")
-    return materialise(parts.groupBy("part").applyInArrow(meet, "bucket long, class long, hub long").dropDuplicates(["bucket", "class"]), "buckets")
+    parts = _text(docs).mapInArrow(emit, "part long, low binary, number binary, kind binary")
+    found = parts.groupBy("part").applyInArrow(meet, "bucket long, class long, band long, room long, size long, many long")
+    found = found.groupBy("bucket", "class", "band", "room", "size").agg(F.sum("many").alias("many"))
+    costliest = Window.partitionBy("class", "band").orderBy(F.desc("size"), "bucket")
+    kept = found.withColumn("so_far", F.sum("many").over(costliest.rowsBetween(Window.unboundedPreceding, 0))).where("so_far > room")
+    return materialise(kept.select("bucket", "class"), "buckets")
 
 
 def sets_of(docs: DataFrame, rows: DataFrame, wanted: DataFrame, seed: int) -> DataFrame:
@@ -312,22 +304,36 @@ def components(links: DataFrame) -> DataFrame:
         labels = new.drop("moved")
 
 
+def _apart(found: DataFrame, roots: DataFrame) -> DataFrame:
+    """bucket, class and root of the buckets whose members have more than one root."""
+    named = found.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
+    several = named.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("bucket")
+    return materialise(named.join(several, "bucket"), "apart")
+
+
 def link(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
     small_batches(docs.sparkSession)
     rows, seed = classify(docs)
     totals = rows.agg(F.count("*"), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
-    found = buckets(docs, seed, totals[0], totals[1], frequent_shingles(docs, totals[0]))
+    found = buckets(docs, seed, totals[0], totals[1])
     sets = sets_of(docs, rows, found, seed)
-    stars = found.where("class <> hub").select(F.col("hub").alias("a"), F.col("class").alias("b")).distinct()
+    hubs = found.groupBy("bucket").agg(F.min("class").alias("a"))
+    stars = found.withColumnRenamed("class", "b").join(hubs, "bucket").where("a <> b").select("a", "b").distinct()
     links = materialise(verify(stars, sets), "stars")
     roots = components(links)
-    # What is left: pairs in a bucket whose roots differ.
-    named = found.select("bucket", "class").join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
-    open_ = named.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("bucket")
-    named = materialise(named.join(open_, "bucket"), "open")
+    # What is apart, against some members of the largest part of its bucket.
+    named = _apart(found, roots)
+    some = [F.min_by("class", F.xxhash64("class", F.lit(i))).alias(f"h{i}") for i in range(HUBS)]
+    parts = named.groupBy("bucket", "root").agg(F.count("*").alias("n"), *some)
+    main = parts.groupBy("bucket").agg(F.max_by(F.struct("root", *(f"h{i}" for i in range(HUBS))), F.struct("n", "root")).alias("main"))
+    tries = named.join(main, "bucket").where("root <> main.root").select(F.col("class").alias("b"), F.explode(F.array(*(f"main.h{i}" for i in range(HUBS)))).alias("a"))
+    links = links.union(materialise(verify(tries.select("a", "b").distinct(), sets), "hubs"))
+    roots = components(links)
+    # What is left: all pairs in a bucket whose roots differ.
+    named = _apart(found, roots)
     one, two = named.select("bucket", F.col("class").alias("a"), F.col("root").alias("ra")), named.select("bucket", F.col("class").alias("b"), F.col("root").alias("rb"))
-    rest = one.join(two, "bucket").where("a < b and ra <> rb").select("a", "b").distinct().join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    rest = one.join(two, "bucket").where("a < b and ra <> rb").select("a", "b").distinct()
     more = materialise(verify(rest, sets), "crossings")
     if more.limit(1).count():
         roots = components(links.union(more))
