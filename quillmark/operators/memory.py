@@ -49,7 +49,7 @@ def pairs_by_cosine(rows: DataFrame, least: float, id_col: str = "id", vec_col:
     with_others = F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("other")
     dealt = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v"), block.alias("own")).select("*", with_others).select("id", "v", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
-    def meet(key, x: pd.DataFrame) -> pd.DataFrame:
+    def meet(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
         i, j = (int(k) for k in key)
         left, right = x[x.own == i], x[x.own == j]
         if not len(left) or not len(right):
