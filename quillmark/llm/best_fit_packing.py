@@ -180,7 +180,7 @@ def pack(pieces: DataFrame, n_documents: int, capacity: int = CAPACITY, group_si
     groups = max(1, -(-n_documents // group_size))
     schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
-    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["doc_id", "piece", "ids_crc32"], kind="stable").reset_index(drop=True)
         sizes = frame["length"].to_numpy(np.int64)
         bins = pack_sizes(sizes, capacity)
