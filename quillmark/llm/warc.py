@@ -170,7 +170,8 @@ def read_archives(manifest: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFr
                             rows, held = [], 0
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return splits.repartition("path", "start").mapInArrow(run, RECORD)
+    # A given number of partitions, since adaptive execution would gather these small rows into few tasks.
+    return splits.repartition(max(1, splits.count()), "path", "start").mapInArrow(run, RECORD)
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
