@@ -47,6 +47,8 @@ GROUP_ROWS = 1_000_000
 CHANCE = 0.02
 #: Members of a bucket's largest part that what is apart from it is held against, before all pairs across parts are.
 HUBS = 6
+#: Pairs across the parts of a bucket, for each member, up to which they are formed as they are.
+LIGHT = 6
 #: Up to so many rows of two numbers are broadcast (32 MB); more are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -128,7 +130,7 @@ def allocate(band: int, n_sets: int) -> tuple[int, int, bool]:
     h = 2 * high // 9
     if not h:
         return 0, 0, False
-    k = h // 8 + 2
+    k = h // 2 + 2
     plain, near = h + 1 + k, h // 2 + 1
     cost = lambda rows, m: rows * (1 + n_sets * CHANCE ** (high / m))
     if h < 3 or cost(high + near, near) < cost(h + 1, plain):
@@ -311,6 +313,88 @@ def _apart(found: DataFrame, roots: DataFrame) -> DataFrame:
     return materialise(named.join(several, "bucket"), "apart")
 
 
+def against_hubs(named: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between what is apart from the largest part of its bucket and HUBS members of that part."""
+    main = _main(named)
+    tries = named.join(main, "bucket").where("root <> main.root").select(F.col("class").alias("b"), F.explode("main.hubs").alias("a"))
+    return materialise(verify(tries.select("a", "b").distinct(), sets), "hubs")
+
+
+def _main(named: DataFrame) -> DataFrame:
+    """bucket, main (root, rows n and HUBS members of its largest part), members and crossings (pairs across its parts)."""
+    some = F.array(*(F.min_by("class", F.xxhash64("class", F.lit(i))) for i in range(HUBS)))
+    parts = named.groupBy("bucket", "root").agg(F.count("*").alias("n"), some.alias("hubs"))
+    main = F.max_by(F.struct("root", "n", "hubs"), F.struct("n", "root")).alias("main")
+    total = F.sum("n")
+    return parts.groupBy("bucket").agg(main, total.alias("members"), ((total * total - F.sum(F.col("n") * F.col("n"))) / 2).alias("crossings"))
+
+
+def by_centre(named: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b), and new buckets in place of those with many pairs across parts; the other buckets stay.
+
+    Buckets with one main part are taken together. Their centre is what most hubs of the part hold; d is a
+    member's difference from it. |x ^ y| = |dx| + |dy| - 2 |dx & dy| for any centre, and x and y link when
+    9 |x ^ y| <= |x| + |y|. With f = 9 |d| - |x|, those with f(x) + f(y) <= 0 link whatever they share, and all of them
+    link with the member of least f. Its partners, the near ones, are linked by that, so what is left has a far member
+    x, with f(x) > -least. It needs |dx & dy| >= (f(x) + f(y)) / 18, where f(y) is at least ``least`` and, as sizes
+    and |d| of linked sets are close, at least 9 |dx| - 3.5 |x|. So each member indexes just so much of its ordered
+    difference (own shingles before missing ones) that a common shingle is in both indexed parts.
+    """
+    main = materialise(_main(named), "parts")
+    many = main.groupBy("main.root").agg(F.sum("crossings").alias("c"), F.sum("members").alias("m")).where(F.col("c") > LIGHT * F.col("m"))
+    heavy = main.join(many.select(F.col("root").alias("r")), F.col("main.root") == F.col("r"), "left_semi")
+    stay = named.join(heavy.select("bucket"), "bucket", "left_anti").select("bucket", "class")
+    members = named.join(heavy.select("bucket", F.col("main.root").alias("centre_of")), "bucket").select("centre_of", "class").distinct()
+    hubs = heavy.groupBy(F.col("main.root").alias("centre_of")).agg(F.max_by("main.hubs", F.struct("members", "bucket")).alias("hubs"))
+    hubs = hubs.select("centre_of", F.explode(F.array_distinct("hubs")).alias("class")).join(sets, "class")
+
+    def centre(batches):
+        for b in batches:
+            out = []
+            for held in b.column(1):
+                value, n = np.unique(np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in held.values]), return_counts=True)
+                out.append(value[2 * n > len(held)].tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["centre_of", "centre"])
+
+    def differ(batches):
+        for b in batches:
+            d, f = [], []
+            for x, y in zip(b.column(2), b.column(3)):
+                own = np.frombuffer(x.as_buffer(), np.uint64)
+                middle = np.frombuffer(y.as_buffer(), np.uint64)
+                d.append(np.r_[np.setdiff1d(own, middle, assume_unique=True), np.setdiff1d(middle, own, assume_unique=True)])
+                f.append(9 * len(d[-1]) - len(own))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(f, pa.int64()), pa.array([x.tobytes() for x in d], pa.binary())], names=["centre_of", "class", "f", "d"])
+
+    def index(batches):
+        for b in batches:
+            name, number = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for key, c, f, d, least in zip(*(b.column(i) for i in range(5))):
+                x = np.frombuffer(d.as_buffer(), np.uint64)
+                far, low = f.as_py(), least.as_py()
+                if far + low > 0:
+                    size = 9 * len(x) - far
+                    partner = max(low, 9 * len(x) - 7 * size // 2 - 1)
+                else:
+                    partner = 1 - low
+                common = max(1, -(-(far + partner) // 18))
+                x = x[: max(0, len(x) - common + 1)]
+                name.append(mix(x + np.uint64(key.as_py() % 2**64)).view(np.int64))
+                number.append(np.full(len(x), c.as_py()))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(name)), pa.array(np.concatenate(number))], names=["bucket", "class"])
+
+    centres = materialise(hubs.groupBy("centre_of").agg(F.collect_list("set")).mapInArrow(centre, "centre_of long, centre binary"), "centres")
+    small = centres.agg(F.coalesce(F.sum(F.length("centre") + 16), F.lit(0))).first()[0] <= 16 * BROADCAST_ROWS
+    known = members.join(sets, "class").join(F.broadcast(centres) if small else centres, "centre_of")
+    deltas = materialise(known.select("centre_of", "class", "set", "centre").mapInArrow(differ, "centre_of long, class long, f long, d binary"), "deltas")
+    least = deltas.groupBy("centre_of").agg(F.min("f").alias("least"), F.min_by("class", F.struct("f", "class")).alias("a"))
+    with_least = deltas.join(least, "centre_of")
+    links = materialise(with_least.where("f + least <= 0 and a <> class").select("a", F.col("class").alias("b")), "sums")
+    rows = materialise(with_least.select("centre_of", "class", "f", "d", "least").mapInArrow(index, "bucket long, class long"), "indexed")
+    several = rows.groupBy("bucket").count().where("count > 1").select("bucket")
+    return links, materialise(stay.union(rows.join(several, "bucket").select("bucket", "class")), "buckets")
+
+
 def link(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
     small_batches(docs.sparkSession)
@@ -321,17 +405,15 @@ def link(docs: DataFrame) -> DataFrame:
     hubs = found.groupBy("bucket").agg(F.min("class").alias("a"))
     stars = found.withColumnRenamed("class", "b").join(hubs, "bucket").where("a <> b").select("a", "b").distinct()
     links = materialise(verify(stars, sets), "stars")
-    roots = components(links)
-    # What is apart, against some members of the largest part of its bucket.
-    named = _apart(found, roots)
-    some = [F.min_by("class", F.xxhash64("class", F.lit(i))).alias(f"h{i}") for i in range(HUBS)]
-    parts = named.groupBy("bucket", "root").agg(F.count("*").alias("n"), *some)
-    main = parts.groupBy("bucket").agg(F.max_by(F.struct("root", *(f"h{i}" for i in range(HUBS))), F.struct("n", "root")).alias("main"))
-    tries = named.join(main, "bucket").where("root <> main.root").select(F.col("class").alias("b"), F.explode(F.array(*(f"main.h{i}" for i in range(HUBS)))).alias("a"))
-    links = links.union(materialise(verify(tries.select("a", "b").distinct(), sets), "hubs"))
+    named = _apart(found, components(links))
+    links = links.union(against_hubs(named, sets))
+    sums, found = by_centre(_apart(named.select("bucket", "class"), components(links)), sets)
+    links = links.union(sums)
+    named = _apart(found, components(links))
+    links = links.union(against_hubs(named, sets))
     roots = components(links)
     # What is left: all pairs in a bucket whose roots differ.
-    named = _apart(found, roots)
+    named = _apart(named.select("bucket", "class"), roots)
     one, two = named.select("bucket", F.col("class").alias("a"), F.col("root").alias("ra")), named.select("bucket", F.col("class").alias("b"), F.col("root").alias("rb"))
     rest = one.join(two, "bucket").where("a < b and ra <> rb").select("a", "b").distinct()
     more = materialise(verify(rest, sets), "crossings")
