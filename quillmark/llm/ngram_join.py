@@ -292,15 +292,25 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
 
 
+def _light(labels: DataFrame) -> DataFrame:
+    """labels, marked for a broadcast if its rows are few enough; else joins with it shuffle."""
+    return F.broadcast(labels) if labels.count() <= BROADCAST_ROWS else labels
+
+
 def components(links: DataFrame) -> DataFrame:
     """class and root, the least class that links reach. Least labels go to neighbours and are then followed one step on, until nothing changes."""
-    both = materialise(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "links")
-    labels = materialise(both.groupBy(F.col("a").alias("class")).agg(F.least(F.min("a"), F.min("b")).alias("root")), "labels")
+    links = links.where("a <> b")
+    ends = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")), F.struct("a", F.col("a").alias("b")), F.struct(F.col("b").alias("a"), "b"))
+    # Each class is its own neighbour too, so that one grouping has both its old label and the least one around it.
+    both = materialise(links.select(F.inline(ends)), "links")
+    labels = materialise(both.groupBy(F.col("a").alias("class")).agg(F.min("b").alias("root")), "labels")
     while True:
-        near = both.join(labels.select(F.col("class").alias("b"), F.col("root").alias("r")), "b").groupBy(F.col("a").alias("class")).agg(F.min("r").alias("r"))
-        step = labels.join(near, "class", "left").select("class", F.least("root", F.coalesce("r", "root")).alias("next"), F.col("root").alias("old"))
-        ahead = labels.select(F.col("class").alias("next"), F.col("root").alias("r2"))
-        new = materialise(step.join(ahead, "next", "left").select("class", F.least("next", F.coalesce("r2", "next")).alias("root"), (F.least("next", F.coalesce("r2", "next")) != F.col("old")).alias("moved")), "labels")
+        known = _light(labels)
+        near = both.join(known.select(F.col("class").alias("b"), F.col("root").alias("r")), "b").groupBy(F.col("a").alias("class"))
+        step = near.agg(F.min("r").alias("next"), F.min(F.when(F.col("a") == F.col("b"), F.col("r"))).alias("old"))
+        ahead = known.select(F.col("class").alias("next"), F.col("root").alias("r2"))
+        new = step.join(ahead, "next").select("class", F.least("next", "r2").alias("root"), (F.least("next", "r2") != F.col("old")).alias("moved"))
+        new = materialise(new, "labels")
         if not new.where("moved").limit(1).count():
             return new.drop("moved")
         labels = new.drop("moved")
@@ -308,7 +318,7 @@ def components(links: DataFrame) -> DataFrame:
 
 def _apart(found: DataFrame, roots: DataFrame) -> DataFrame:
     """bucket, class and root of the buckets whose members have more than one root."""
-    named = found.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
+    named = found.join(_light(roots), "class", "left").withColumn("root", F.coalesce("root", "class"))
     several = named.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("bucket")
     return materialise(named.join(several, "bucket"), "apart")
 
@@ -419,7 +429,7 @@ def link(docs: DataFrame) -> DataFrame:
     more = materialise(verify(rest, sets), "crossings")
     if more.limit(1).count():
         roots = components(links.union(more))
-    labelled = rows.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
+    labelled = rows.join(_light(roots), "class", "left").withColumn("root", F.coalesce("root", "class"))
     least = labelled.where("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
     out = labelled.join(least, "root", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))

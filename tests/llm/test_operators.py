@@ -291,6 +291,45 @@ def test_ngram_join(spark, edge, none):
     assert ngram_join.link(none).count() == 0 and ngram_join.link(edge).count() == len(EDGE)
 
 
+@pytest.mark.parametrize("most", [0, 2_000_000])
+def test_components(spark, monkeypatch, most):
+    monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", most)
+    rnd = random.Random(6)
+    pairs = [(i, i + 1) for i in range(100, 117)] + [(rnd.randint(-40, 40), rnd.randint(-40, 40)) for _ in range(45)]
+    least = {x: x for p in pairs if p[0] != p[1] for x in p}
+    for _ in least:
+        for a, b in pairs:
+            if a != b:
+                least[a] = least[b] = min(least[a], least[b])
+    got = ngram_join.components(spark.createDataFrame(pairs, "a long, b long")).collect()
+    assert sorted(map(tuple, got)) == sorted(least.items())
+    assert ngram_join.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_large_group_by_centre(spark, monkeypatch):
+    """Variants of one text that link with one another through shared changes, with few hubs, so that pairs across parts go by the centre."""
+    monkeypatch.setattr(ngram_join, "HUBS", 1)
+    monkeypatch.setattr(ngram_join, "LIGHT", 0)
+    moved, plain = [], ngram_join.by_centre
+
+    def counted(named, sets):
+        links, found = plain(named, sets)
+        moved.append((named.count(), links.count()))
+        return links, found
+
+    monkeypatch.setattr(ngram_join, "by_centre", counted)
+    rnd = random.Random(7)
+    rows = []
+    for i in range(140):
+        w = [f"w{k}" for k in range(60)]
+        for k in rnd.sample(range(2, 58, 5), rnd.choice((0, 1, 2, 2, 3, 3, 4))):
+            w[k] = f"x{k}{rnd.randint(0, 1)}"
+        rows.append((i, " ".join(w)))
+    got = ngram_join.link(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got)) == links_by_brute_force(rows)
+    assert moved[0][0] > 50
+
+
 def test_bands_hold_all_links():
     for a in range(1, 400):
         for b in range(a, a * 5 // 4 + 1):
