@@ -14,6 +14,7 @@ QUERIES = {
         warc.op7_warc,
         best_fit_packing.op8_best_fit_packing,
         line_dedup.op9_line_dedup,
+        line_dedup.op9_line_runs,
         ngram_join.op10_ngram_join,
     )
 }
@@ -23,4 +24,5 @@ ORACLE_SQL = {
     "op4_curriculum_mix": curriculum_mix.OP4_SQL,
     "op7_warc": warc.OP7_SQL,
     "op9_line_dedup": line_dedup.OP9_SQL,
+    "op9_line_runs": line_dedup.OP9_RUNS_SQL,
 }

@@ -249,6 +249,24 @@ def test_line_dedup(spark, edge, none):
     assert got[0]["n_removed_lines"] == 0 and all(got[i]["n_removed_lines"] > 4 for i in range(1, 5))
 
 
+def test_line_runs(spark, edge, none):
+    """Passages of 2 to 5 lines with different neighbours go whole, and nothing else goes."""
+    assert line_dedup.dedup_runs(none).count() == 0
+    clash = edge.withColumn("Q_GONE", edge.doc_id)
+    assert line_dedup.dedup_runs(clash).columns[: len(clash.columns)] == clash.columns
+    rows, want = [], {}
+    for n in (2, 3, 4, 5):
+        for v in range(10):
+            passage = "\n".join(f"passage {n} {v} line {i}" for i in range(n))
+            for c in range(3):
+                rows.append((len(rows), f"own start {len(rows)}\n{passage}\nown end {len(rows)}"))
+                want[len(rows) - 1] = (n if c else 0, f"own start {len(rows) - 1}\nown end {len(rows) - 1}" if c else rows[-1][1])
+    rows += [(900, None), (901, ""), (902, "p\n \nq\nx"), (903, "y\np\n\n\nq"), (904, "p\nr\nq"), (905, "\n\n")]
+    want |= {900: (0, None), 901: (0, ""), 902: (0, rows[-4][1]), 903: (4, "y"), 904: (0, "p\nr\nq"), 905: (0, "\n\n")}
+    got = line_dedup.dedup_runs(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["n_removed_lines"], r["text"]) for r in got} == want
+
+
 def links_by_brute_force(rows):
     sets = []
     for _, t in rows:
