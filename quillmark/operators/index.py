@@ -26,36 +26,39 @@ def apply_changes(table: DataFrame, deleted: DataFrame, upserts: DataFrame, key:
 
 
 _IMPORTS = {
-    "py": [r"^\s*from\s+(\S+)\s+import", r"^\s*import\s+([\w.]+)"],
+    "py": [r"^\s*from\s+(\S+)\s+import", r"^\s*import\s+(.+)"],
     "js": [r"""^\s*import\b.*?['"]([^'"]+)['"]""", r"""\brequire\(\s*['"]([^'"]+)['"]""", r"""^\s*export\b.*\bfrom\s+['"]([^'"]+)['"]"""],
     "rs": [r"^\s*(?:pub\s+)?use\s+(crate(?:::\w+)?|\w+)", r"^\s*(?:pub\s+)?mod\s+(\w+)\s*;"],
-    "go": [r'^\s*import\s+(?:\w+\s+)?"([^"]+)"', r'^\s*(?:\w+\s+)?"([^"]+)"\s*$'],
+    "go": [r'^\s*import\s+(?:[\w.]+\s+)?"([^"]+)"', r'^\s*(?:[\w.]+\s+)?"([^"]+)"'],
     "c": [r'^\s*#\s*include\s+"([^"]+)"'],
 }
-_FAMILY = {**dict.fromkeys(("js", "jsx", "ts", "tsx", "mjs", "cjs"), "js"), **dict.fromkeys(("py", "pyi"), "py"), "rs": "rs", "go": "go", **dict.fromkeys(("c", "h", "cpp", "cc", "hpp"), "c")}
+_FAMILY = {**dict.fromkeys(("js", "jsx", "ts", "tsx", "mjs", "cjs"), "js"), **dict.fromkeys(("py", "pyi"), "py"), "rs": "rs", "go": "go", **dict.fromkeys(("c", "h", "cpp", "cc", "cxx", "hpp", "hxx"), "c")}
 
 
 def imports_of(source: str, ext: str) -> list[str]:
-    """Names that a source imports, one for each import line; comments are passed over."""
+    """Names that a source imports, one for each name of each import line; comments are passed over."""
     family = _FAMILY.get(ext)
     if not family:
         return []
     if family != "py":
         source = re.sub(r"/\*.*?\*/", lambda m: "\n" * m.group().count("\n"), source, flags=re.S)
+    else:
+        source = re.sub(r"(?m)^[ \t]*(?:from|import)\b(?:[^#\n\\]|\\\r?\n)+", lambda m: re.sub(r"\\\r?\n", " ", m.group()), source)
     out, block = [], False
     for line in source.split("\n"):
         if line.lstrip().startswith(("//",) if family != "py" else ("#",)):
             continue
         if family == "go":
-            if re.match(r"\s*import\s*\(", line):
-                block = True
+            if m := re.match(r"\s*import\s*\(", line):
+                out += re.findall(r'"([^"]+)"', line[m.end() :])
+                block = ")" not in re.sub(r'"[^"]*"|//.*', "", line[m.end() :])
                 continue
             block = block and not line.strip().startswith(")")
         for i, pattern in enumerate(_IMPORTS[family]):
             if family == "go" and i == 1 and not block:
                 continue
             if m := re.search(pattern, line):
-                out.append(m[1])
+                out += re.findall(r"(?:^|,)\s*([\w.]+)", m[1].split("#")[0]) if family == "py" and i == 1 else [m[1]]
                 break
     return out
 
@@ -137,19 +140,27 @@ def tree_dirs(files: DataFrame, depth: int = 2) -> DataFrame:
 
 
 def resolve_imports(imports: DataFrame, known: DataFrame) -> DataFrame:
-    """relative_path, import, resolved: the first candidate path that is known, by the importer's language."""
+    """relative_path, import, resolved: the first candidate path that is known, by the importer's language; one row for each row of imports that has one.
+
+    A Go import means a directory that ends with it; of the .go files in all of these the least path is taken.
+    """
     def run(frames):
         for x in frames:
             rows = [(p, i, n, c) for p, i in zip(x["relative_path"], x["import"]) for n, c in enumerate(import_candidates(i, p))]
             yield pd.DataFrame(rows, columns=["relative_path", "import", "rank", "path"])
 
-    tries = imports.mapInPandas(run, "relative_path string, import string, rank int, path string")
-    hits = tries.join(known.select(F.col("relative_path").alias("path")).distinct(), "path")
-    return hits.groupBy("relative_path", "import").agg(F.min_by("path", "rank").alias("resolved"))
+    names = imports.select("relative_path", "import").distinct()
+    paths = known.select(F.col("relative_path").alias("path")).distinct()
+    tries = names.mapInPandas(run, "relative_path string, import string, rank int, path string")
+    hits = tries.join(paths, "path").groupBy("relative_path", "import").agg(F.min_by("path", "rank").alias("resolved"))
+    folders = paths.where(F.endswith("path", F.lit(".go"))).groupBy(F.regexp_extract("path", "^(.*)/", 1).alias("folder")).agg(F.min("path").alias("path")).where("folder <> ''")
+    ends = folders.select(F.explode(F.transform(F.sequence(F.lit(1), F.char_length("folder")), lambda n: F.right(F.col("folder"), n))).alias("import"), "path")
+    go = names.where(F.endswith("relative_path", F.lit(".go"))).join(ends.groupBy("import").agg(F.min("path").alias("resolved")), "import")
+    return imports.select("relative_path", "import").join(hits.unionByName(go), ["relative_path", "import"])
 
 
 def import_candidates(name: str, importer: str) -> list[str]:
-    """Paths that an import may mean, best first."""
+    """Paths that an import may mean, best first; none for Go (see resolve_imports)."""
     folder, _, base = importer.rpartition("/")
     family = _FAMILY.get(base.rpartition(".")[2])
 
@@ -160,16 +171,16 @@ def import_candidates(name: str, importer: str) -> list[str]:
         return "/".join(out)
 
     if family == "js":
-        if not name.startswith("."):
+        if not name.startswith((".", "/")):
             return []
-        at = clean(f"{folder}/{name}")
-        return [at, *(f"{at}.{e}" for e in ("js", "ts", "tsx", "jsx")), *(f"{at}/index.{e}" for e in ("js", "ts", "tsx", "jsx"))]
+        at = clean(name if name.startswith("/") else f"{folder}/{name}")
+        return [at, *(f"{at}.{e}" for e in ("js", "ts", "tsx", "jsx")), *(f"{at}/index.{e}" for e in ("ts", "tsx", "js", "jsx"))]
     if family == "py":
         at = name.replace(".", "/")
-        return [f"{at}.py", f"{at}/__init__.py", f"src/{at}.py"]
+        return [f"{at}.py", f"{at}/__init__.py", f"{at}.pyi"]
     if family == "rs":
         at = name.removeprefix("crate::").replace("::", "/")
-        return [f"src/{at}.rs", f"src/{at}/mod.rs", clean(f"{folder}/{at}.rs"), clean(f"{folder}/{at}/mod.rs")]
+        return [clean(f"{folder}/{at}.rs"), clean(f"{folder}/{at}/mod.rs"), f"src/{at}.rs", f"src/{at}/mod.rs"]
     if family == "c":
-        return [clean(f"{folder}/{name}"), clean(name)]
+        return [clean(name if name.startswith("/") else f"{folder}/{name}"), name]
     return []

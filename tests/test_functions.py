@@ -93,6 +93,20 @@ def test_symbols_and_imports():
     assert index.import_candidates("./b", "web/a.js")[1] == "web/b.js"
 
 
+def test_imports_of_each_language(spark):
+    assert index.imports_of("import a.b, c as d,e  # , f\nfrom g \\\n  import h\nimport i, \\\n  j\n", "py") == ["a.b", "c", "e", "g", "i", "j"]
+    assert index.imports_of('import ("fmt"; "os") // a\nvar s = "x"\nimport (\n  . "a/b" // c\n  _ "d"\n)\nvar t = "y"\n', "go") == ["fmt", "os", "a/b", "d"]
+    for e in ("cxx", "hxx"):
+        assert index.imports_of('#include "a.h"\n', e) == ["a.h"] and index.symbols_of("struct p {\n};\n", e)[0][0] == "p"
+    rows = [("cmd/main.go", "app/pkg/auth"), ("cmd/main.go", "app/pkg/auth"), ("cmd/main.go", "pkg/auth"), ("cmd/main.go", "fmt"), ("x/a.py", "lib.s"), ("x/a.py", "lib.s"), ("x/a.py", "u")]
+    rows += [("web/a.ts", "/lib/b"), ("web/a.ts", "react"), ("web/a.ts", "./w"), ("src/k/m.rs", "crate::n"), ("c/a.cxx", "b.hxx"), ("c/a.cxx", "../z.h")]
+    known = ["v/app/pkg/auth/z.go", "v/app/pkg/auth/b.go", "u/pkg/auth/c.go", "u/pkg/auth/c.py", "lib/s.pyi", "src/u.py", "lib/b.tsx", "web/w/index.js", "web/w/index.ts", "src/n.rs", "src/k/n.rs", "c/b.hxx", "z.h"]
+    want = [("cmd/main.go", "app/pkg/auth", "v/app/pkg/auth/b.go")] * 2 + [("cmd/main.go", "pkg/auth", "u/pkg/auth/c.go")] + [("x/a.py", "lib.s", "lib/s.pyi")] * 2
+    want += [("web/a.ts", "/lib/b", "lib/b.tsx"), ("web/a.ts", "./w", "web/w/index.ts"), ("src/k/m.rs", "crate::n", "src/k/n.rs"), ("c/a.cxx", "b.hxx", "c/b.hxx"), ("c/a.cxx", "../z.h", "z.h")]
+    got = index.resolve_imports(spark.createDataFrame(rows, "relative_path string, import string"), spark.createDataFrame([(k,) for k in known], "relative_path string"))
+    assert sorted(map(tuple, got.select("relative_path", "import", "resolved").collect())) == sorted(want)
+
+
 def test_greedy_pack(spark):
     df = spark.createDataFrame([("g", 1, 6), ("g", 2, 5), ("g", 3, 4), ("h", 1, 11)], "g string, o long, c long")
     assert sorted(map(tuple, search.pack_greedy(df, "g", "o", "c", 10).collect())) == [("g", 1), ("g", 3)]
