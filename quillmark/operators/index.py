@@ -66,7 +66,7 @@ def imports_of(source: str, ext: str) -> list[str]:
 _SYMBOLS = {
     "js": [("function", r"^(?:export\s+)?(?:default\s+)?function\s*\*?\s*(\w+)"), ("async function", r"^(?:export\s+)?(?:default\s+)?async\s+function\s*\*?\s*(\w+)"), ("class", r"^(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+(\w+)"), ("interface", r"^(?:export\s+)?interface\s+(\w+)"), ("type", r"^(?:export\s+)?type\s+(\w+)"), ("enum", r"^(?:export\s+)?(?:const\s+)?enum\s+(\w+)"), ("const", r"^(?:export\s+)?(?:const|let|var)\s+(\w+)"), ("export", r"^(?:module\.)?exports(?:\.(\w+))?\s*=")],
     "rs": [("function", r"^(?:pub(?:\([^)]*\))?\s+)?(?:const\s+)?(?:unsafe\s+)?fn\s+(\w+)"), ("async function", r"^(?:pub(?:\([^)]*\))?\s+)?async\s+fn\s+(\w+)"), ("struct", r"^(?:pub(?:\([^)]*\))?\s+)?struct\s+(\w+)"), ("enum", r"^(?:pub(?:\([^)]*\))?\s+)?enum\s+(\w+)"), ("trait", r"^(?:pub(?:\([^)]*\))?\s+)?trait\s+(\w+)"), ("impl", r"^impl(?:<[^>]*>)?\s+(?:[\w:<>]+\s+for\s+)?(\w+)")],
-    "go": [("method", r"^func\s+\([^)]*\)\s*(\w+)"), ("function", r"^func\s+(\w+)"), ("type", r"^type\s+(\w+)"), ("const", r"^(?:const|var)\s+(\w+)")],
+    "go": [("method", r"^func\s+\([^)]*\)\s*(\w+)"), ("function", r"^func\s+(\w+)"), ("struct", r"^type\s+(\w+)(?:\[[^\]]*\])?\s+struct\b"), ("interface", r"^type\s+(\w+)(?:\[[^\]]*\])?\s+interface\b"), ("type", r"^type\s+(\w+)"), ("const", r"^(?:const|var)\s+(\w+)")],
     "c": [("struct", r"^(?:typedef\s+)?(?:struct|union)\s+(\w+)\s*\{"), ("enum", r"^(?:typedef\s+)?enum\s+(\w+)\s*\{"), ("function", r"^[A-Za-z_][\w\s\*]*?\b(\w+)\s*\([^;]*\)\s*\{?\s*$")],
 }
 
@@ -82,6 +82,41 @@ def _end(lines: list[str], i: int) -> int:
     return len(lines) - 1 if opened else i
 
 
+def _go_block(lines: list[str], i: int) -> tuple[list[tuple[str, str, int, int, str]], int]:
+    """The symbols of a block `type (`, `const (` or `var (` that opens on line i, and the line that closes it."""
+    word, out, j = lines[i].split("(")[0].strip(), [], i + 1
+    while j < len(lines) and not lines[j].startswith(")"):
+        last = j
+        for kind, pattern in _SYMBOLS["go"][2:] if re.match(r"\s*\w", lines[j]) else []:
+            if m := re.match(pattern, f"{word} {lines[j].strip()}"):
+                depth = 0
+                for last in range(j, len(lines)):
+                    depth += sum(lines[last].count(c) for c in "{(") - sum(lines[last].count(c) for c in "})")
+                    if depth <= 0:
+                        break
+                out.append((m[1], kind, j + 1, last + 1, lines[j].strip()))
+                break
+        j = last + 1
+    return out, j
+
+
+def _exported(text: str) -> str:
+    """How an assignment to module.exports is named: by the keys of its object, or by what is assigned."""
+    value = text.partition("=")[2].strip().rstrip(";").strip()
+    if not value.startswith("{"):
+        return f"module.exports = {value[:60]}"
+    depth, part, parts = 0, "", []
+    for c in re.sub(r"/\*.*?\*/|//[^\n]*", "", value, flags=re.S):
+        depth += (c in "{[(") - (c in "}])")
+        if c == "," and depth == 1 or depth == 0:
+            parts.append(part)
+            part = ""
+        elif not (c == "{" and depth == 1 and not part and not parts):
+            part += c
+    keys = [m[1] for x in parts if (m := re.match(r"""\s*([\w$]+|'[^']*'|"[^"]*")\s*(?::|$)""", x))]
+    return f"module.exports({', '.join(keys)})" if keys else "default"
+
+
 def symbols_of(source: str, ext: str) -> list[tuple[str, str, int, int, str]]:
     """Top-level (name, kind, first line, last line, signature), lines from 1."""
     family = _FAMILY.get(ext)
@@ -97,10 +132,13 @@ def symbols_of(source: str, ext: str) -> list[tuple[str, str, int, int, str]]:
         return [(n.name, kinds[type(n)], n.lineno, n.end_lineno, lines[n.lineno - 1].strip()) for n in tree.body if type(n) in kinds]
     out, i = [], 0
     while i < len(lines):
-        for kind, pattern in _SYMBOLS[family]:
+        if family == "go" and re.match(r"(?:type|const|var)\s*\(", lines[i]):
+            found, i = _go_block(lines, i)
+            out += found
+        for kind, pattern in _SYMBOLS[family] if i < len(lines) else []:
             if m := re.match(pattern, lines[i]):
                 last = _end(lines, i)
-                out.append((m[1] or "default", kind, i + 1, last + 1, lines[i].strip()))
+                out.append((m[1] or _exported("\n".join(lines[i : last + 1])), kind, i + 1, last + 1, lines[i].strip()))
                 i = last
                 break
         i += 1

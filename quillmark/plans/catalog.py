@@ -132,20 +132,22 @@ def centrality_boost(spark, d):
     return search.centrality(search.in_degree(S.read(spark, d, "lineitem"), "l_partkey")).withColumn("boost", F.round("boost", 6))
 
 
-@query()
+@query("""WITH p AS (SELECT doc_id, k, doc_id - k AS t, doc_id % 5 AS m FROM documents, (VALUES (5), (10)) x(k))
+SELECT CASE m WHEN 0 THEN 'lib/doc_' || p.doc_id || '.py' WHEN 1 THEN 'web/doc_' || p.doc_id || '.ts' WHEN 2 THEN 'src/doc_' || p.doc_id || '.rs' WHEN 3 THEN 'app/pkg/p' || p.doc_id || '/doc.go' ELSE 'c/doc_' || p.doc_id || '.hxx' END AS relative_path,
+  CASE m WHEN 0 THEN 'lib.doc_' || t WHEN 1 THEN CASE k WHEN 5 THEN './doc_' ELSE '/web/doc_' END || t WHEN 2 THEN CASE k WHEN 5 THEN 'crate::doc_' ELSE 'doc_' END || t WHEN 3 THEN CASE k WHEN 5 THEN 'pkg/p' ELSE 'app/pkg/p' END || t ELSE CASE k WHEN 5 THEN 'doc_' ELSE 'c/doc_' END || t || '.hxx' END AS import,
+  CASE m WHEN 0 THEN 'lib/doc_' || t || '.py' WHEN 1 THEN 'web/doc_' || t || '.ts' WHEN 2 THEN 'src/doc_' || t || '.rs' WHEN 3 THEN 'app/pkg/p' || t || '/doc.go' ELSE 'c/doc_' || t || '.hxx' END AS resolved
+FROM p JOIN documents d ON d.doc_id = t""")
 def import_extract(spark, d):
-    """Imports of a small tree written in five languages, resolved to its files."""
-    return index.resolve_imports(index.extract_imports(_tree(spark)), _tree(spark))
+    """Imports of all documents as sources in five languages, resolved to one another."""
+    files = S.sources(spark, d)
+    return index.resolve_imports(index.extract_imports(files), files)
 
 
-@query()
+@query(r"""WITH s AS (SELECT page_id, unnest(regexp_extract_all(html, '(?s)<script[^>]*>(.*?)</script>', 1)) AS c, generate_subscripts(regexp_extract_all(html, '(?s)<script[^>]*>(.*?)</script>', 1), 1) - 1 AS n FROM pages)
+SELECT 'page_' || page_id || '/' || n || '.js' AS relative_path, regexp_extract(c, '^(?:const|let|var)\s+(\w+)', 1) AS name, 'const' AS kind, 1 AS start_line, 1 AS end_line, trim(c) AS signature FROM s WHERE regexp_matches(c, '^(?:const|let|var)\s+\w+')""")
 def symbol_extract(spark, d):
-    return index.extract_symbols(_tree(spark))
-
-
-def _tree(spark):
-    rows = [("app/main.py", "py", "import lib.util\nfrom lib import util\n\ndef run(x):\n    return x\n\nclass App:\n    pass\n"), ("lib/util.py", "py", "# import os\nasync def go():\n    pass\n"), ("web/a.js", "js", "import x from './b'\nexport function f(a) {\n  return a\n}\nconst k = 1;\n"), ("web/b.js", "js", "class B {\n}\n"), ("src/m.rs", "rs", "use crate::n;\npub fn f() {\n}\nstruct S {\n}\n"), ("src/n.rs", "rs", "pub enum E { A }\n"), ("c/a.c", "c", '#include "a.h"\nint main(void) {\n  return 0;\n}\n'), ("c/a.h", "h", "struct p {\n int x;\n};\n")]
-    return spark.createDataFrame(rows, "relative_path string, extension string, content string")
+    """Top-level symbols of the scripts in all pages, which hold one line each."""
+    return index.extract_symbols(S.scripts(spark, d))
 
 
 # Search ----------------------------------------------------------------------------------------------------------

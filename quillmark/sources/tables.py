@@ -17,6 +17,27 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.format_string("%s/%s/doc_%d.txt", "source", "lang", "doc_id").alias("relative_path"), F.col("lang").alias("extension"), F.octet_length("text").cast("long").alias("size_bytes"), T.line_count(F.col("text")).cast("long").alias("line_count"), F.col("text").alias("content"))
 
 
+def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a source in one of five languages, by doc_id, that imports the two documents 5 and 10 before it and holds the text."""
+    d = read(spark, sf_dir, "documents")
+    forms = [
+        ("py", "lib/doc_%1$d.py", "import lib.doc_%2$d, lib.doc_%3$d\n"),
+        ("ts", "web/doc_%1$d.ts", "import a from './doc_%2$d'\nimport b from '/web/doc_%3$d'\n"),
+        ("rs", "src/doc_%1$d.rs", "use crate::doc_%2$d;\nmod doc_%3$d;\n"),
+        ("go", "app/pkg/p%1$d/doc.go", 'import (\n  "pkg/p%2$d"\n  x "app/pkg/p%3$d" // the second\n)\n'),
+        ("hxx", "c/doc_%1$d.hxx", '#include "doc_%2$d.hxx"\n#include "c/doc_%3$d.hxx"\n'),
+    ]
+    pick = lambda make: F.element_at(F.array(*map(make, forms)), (F.pmod("doc_id", F.lit(5)) + 1).cast("int"))
+    fill = lambda form: F.format_string(form, "doc_id", F.col("doc_id") - 5, F.col("doc_id") - 10)
+    return d.select(pick(lambda f: fill(f[1])).alias("relative_path"), pick(lambda f: F.lit(f[0])).alias("extension"), F.concat(pick(lambda f: fill(f[2])), F.coalesce("text", F.lit(""))).alias("content"))
+
+
+def scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scripts in all pages."""
+    found = read(spark, sf_dir, "pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(r"(?s)<script[^>]*>(.*?)</script>"))).alias("n", "content"))
+    return found.select(F.format_string("page_%d/%d.js", "page_id", "n").alias("relative_path"), F.lit("js").alias("extension"), "content")
+
+
 def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = read(spark, sf_dir, "part")
     return p.select(F.col("p_partkey").alias("symbol_id"), F.col("p_name").alias("name"), F.lower("p_type").alias("kind"), F.lit(1).alias("start_line"), (F.col("p_size") + 1).alias("end_line"), F.concat_ws(" ", "p_name", "p_brand").alias("signature"), F.col("p_brand").alias("relative_path"))

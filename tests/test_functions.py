@@ -107,6 +107,23 @@ def test_imports_of_each_language(spark):
     assert sorted(map(tuple, got.select("relative_path", "import", "resolved").collect())) == sorted(want)
 
 
+def test_tree(spark):
+    rows = [("app/main.py", "py", "import lib.util\nfrom lib import util\n\ndef run(x):\n    return x\n\nclass App:\n    pass\n"), ("lib/util.py", "py", "# import os\nasync def go():\n    pass\n"), ("web/a.js", "js", "import x from './b'\nexport function f(a) {\n  return a\n}\nconst k = 1;\n"), ("web/b.js", "js", "class B {\n}\n"), ("src/m.rs", "rs", "use crate::n;\npub fn f() {\n}\nstruct S {\n}\n"), ("src/n.rs", "rs", "pub enum E { A }\n"), ("c/a.c", "c", '#include "a.h"\nint main(void) {\n  return 0;\n}\n'), ("c/a.h", "h", "struct p {\n int x;\n};\n")]
+    tree = spark.createDataFrame(rows, "relative_path string, extension string, content string")
+    got = index.resolve_imports(index.extract_imports(tree), tree).select("relative_path", "import", "resolved").collect()
+    assert sorted(map(tuple, got)) == [("app/main.py", "lib.util", "lib/util.py"), ("c/a.c", "a.h", "c/a.h"), ("src/m.rs", "crate::n", "src/n.rs"), ("web/a.js", "./b", "web/b.js")]
+    got = index.extract_symbols(tree).select("relative_path", "name", "kind", "start_line", "end_line").collect()
+    want = [("app/main.py", "run", "function", 4, 5), ("app/main.py", "App", "class", 7, 8), ("lib/util.py", "go", "async function", 2, 3), ("web/a.js", "f", "function", 2, 4), ("web/a.js", "k", "const", 5, 5), ("web/b.js", "B", "class", 1, 2), ("src/m.rs", "f", "function", 2, 3), ("src/m.rs", "S", "struct", 4, 5), ("src/n.rs", "E", "enum", 1, 1), ("c/a.c", "main", "function", 2, 4), ("c/a.h", "p", "struct", 1, 3)]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_symbol_blocks():
+    go = "package p\nconst (\n\tA = iota // a\n\tB\n\n\t// C\n)\ntype (\n\tT struct {\n\t\tx int\n\t}\n\tI interface{}\n\tN = int\n)\nvar (\n\tf = g(\n\t\t1,\n\t)\n)\nfunc F() {\n}\ntype U struct {\n}\n"
+    assert [s[:4] for s in index.symbols_of(go, "go")] == [("A", "const", 3, 3), ("B", "const", 4, 4), ("T", "struct", 9, 11), ("I", "interface", 12, 12), ("N", "type", 13, 13), ("f", "const", 16, 18), ("F", "function", 20, 21), ("U", "struct", 22, 23)]
+    js = "module.exports = { a, b: { c: 1, d }, 'e': [f, g], // h\n  i }\nexports.j = 1;\nmodule.exports = run;\n"
+    assert [s[:4] for s in index.symbols_of(js, "js")] == [("module.exports(a, b, 'e', i)", "export", 1, 2), ("j", "export", 3, 3), ("module.exports = run", "export", 4, 4)]
+
+
 def test_greedy_pack(spark):
     df = spark.createDataFrame([("g", 1, 6), ("g", 2, 5), ("g", 3, 4), ("h", 1, 11)], "g string, o long, c long")
     assert sorted(map(tuple, search.pack_greedy(df, "g", "o", "c", 10).collect())) == [("g", 1), ("g", 3)]
