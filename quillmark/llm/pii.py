@@ -1,7 +1,7 @@
 """Personal data: fixed base patterns, and a semi-Markov conditional random field that adds spans.
 
 Base spans are found by rule, per kind, leftmost and non-overlapping; matches that fail their check are dropped.
-The field works on the surroundings of digits, '@' and '(at)'. Its segments are single tokens (no entity, score 0)
+The field works on the surroundings of digits, '@', '(at)' and '(dot)' in any case, up to blanks. Its segments are single tokens (no entity, score 0)
 or candidate spans of at most MOST_TOKENS tokens with a kind, scored by features of the whole span: digit count,
 shape of the digit groups, separators, checksum, octets, characters and cue words around. Dynamic programming
 chooses boundaries and kinds jointly; spans that do not overlap a base span are added. Its weights are trained here
@@ -84,9 +84,10 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
-_TRIGGER = re.compile(r"[0-9@]|[\[(] ?at ?[\])]")
+_TRIGGER = re.compile(r"[0-9@]|[\[(] ?(?:at|dot) ?[\])]", re.I)
 _TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|\s|.", re.S)
 _NEAR = 40
+_BLANK = re.compile(r"\s")
 _NUMERIC = set(" -.()+/")
 _OPENERS = set("+(")
 _MAILBOX = set("._-+%@()[]")
@@ -101,11 +102,19 @@ _CUE_OF = {w: k for k, ws in CUES.items() for w in ws}
 
 
 def regions(text: str) -> list[tuple[int, int]]:
-    """Maximal stretches near a trigger, cut at blanks where possible."""
+    """Maximal stretches near a trigger, extended to the next blank on both sides. No place is looked at twice, so the work is in proportion to the text."""
     out: list[list[int]] = []
     for m in _TRIGGER.finditer(text):
         a, b = max(0, m.start() - _NEAR), min(len(text), m.end() + _NEAR)
-        if out and a <= out[-1][1]:
+        low = out[-1][1] if out else 0
+        if b <= low:
+            continue
+        if not text[b - 1].isspace():
+            blank = _BLANK.search(text, b)
+            b = blank.start() if blank else len(text)
+        while a > low and not text[a].isspace() and not text[a - 1].isspace():
+            a -= 1
+        if out and a <= low:
             out[-1][1] = b
         else:
             out.append([a, b])
@@ -142,7 +151,7 @@ def candidates(text: str, a: int, b: int) -> tuple[list[tuple[int, int]], list[t
             at = False
             for j in range(i, min(len(words), i + MOST_TOKENS)):
                 x = words[j]
-                if x == "@" or x == "at" and j and words[j - 1] in "([":
+                if x == "@" or x.lower() == "at" and j and words[j - 1] in "([":
                     at = True
                 if x in (" ",) and not (j + 1 < len(words) and words[j + 1] in "([" or words[j - 1] in ")]"):
                     break
@@ -172,8 +181,8 @@ def _numeric(text, s, e, n, i, j, cue):
 def _mailbox(text, s, e, i, j, cue):
     span = text[s:e]
     plain = _DOMAIN.fullmatch(span.rpartition("@")[2]) is not None
-    spelled = re.fullmatch(r"[\w.+-]+ ?[\[(]at[\])] ?[\w-]+(?: ?(?:[\[(]dot[\])]|\.) ?[\w-]+)+", span) is not None
-    tail = re.search(r"[^\W\d_]+$", span)
+    spelled = re.fullmatch(r"[\w.+-]+ ?[\[(]at[\])] ?[\w-]+(?: ?(?:[\[(]dot[\])]|\.) ?[\w-]+)+", span, re.I) is not None
+    tail = re.search(r"[^\W\d_]+$", span[-5:])
     yield (i, j, "email", tuple(f"email|{f}" for f in ("bias", f"plain={plain}", f"spelled={spelled}", f"ats={min(2, span.count('@'))}", f"tail={min(5, len(tail.group())) if tail else 0}", *_around(text, s, e, cue, "email"))))
 
 

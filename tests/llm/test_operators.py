@@ -144,6 +144,14 @@ def test_pii(spark, edge, none):
     assert got[8]["spans"][0]["kind"] == "phone" and got[1]["spans"] == [] and pii.detect(none).count() == 0
 
 
+def test_pii_long_mailboxes():
+    model, long = pii.trained(), "a" * 30 + "." + "b" * 30
+    for box in (f"{long}(at)example(dot)com", f"{long} (at) example (dot) com", f"anna.lee(at){'c' * 60}(dot)com", f"anna.lee (at) {'c' * 60} (dot) com", "anna.lee(AT)example(DOT)com", "anna.lee [At] example.com"):
+        assert model.spans(f"mail {box} now") == [("email", 5, 5 + len(box))], box
+    assert pii.regions("x" * 100 + "1" + "y" * 100 + " z " + "w" * 90) == [(0, 201)]
+    assert pii.regions(("x" * 100 + "1") * 3) == [(0, 303)]
+
+
 def test_semi_markov_sums():
     """Forward and backward sums against all segmentations of a small lattice."""
     spans = [(0, 2, "a", ("x",)), (1, 3, "a", ("y",)), (2, 4, "b", ("x", "z"))]
