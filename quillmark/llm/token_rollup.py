@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark.llm import bpe
-from quillmark.llm.common import new_path, small_batches, table
+from quillmark.llm.common import materialise, new_path, small_batches, table
 
 KEYS = ("source", "lang", "tokenizer_version")
 SUMS = ("n_docs", "n_tokens", "n_chars")
@@ -121,9 +121,21 @@ class TokenRollup:
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents inserted as one batch, and that batch delivered once more; the totals by source, language and version."""
+    """The totals by source, language and version after four batches over all documents, each delivered twice.
+
+    All documents are inserted with a guess of their tokens, inserted once more with the true count, deleted once, and
+    revised from the guess to the true count. The totals are those of a fresh count.
+    """
     rollup = TokenRollup(spark, new_path(spark, "rollup"))
-    inserts = count_tokens(table(spark, sf_dir, "documents")).withColumn("kind", F.lit("insert"))
-    for _ in range(2):
-        rollup.apply("load-documents", inserts)
+    counts = materialise(count_tokens(table(spark, sf_dir, "documents")), "token-counts")
+    guess = F.floor(F.col("n_chars") / 4).cast("long") + 1
+    batches = {
+        "load-documents": counts.withColumns({"kind": F.lit("insert"), "n_tokens": guess}),
+        "load-again": counts.withColumn("kind", F.lit("insert")),
+        "delete-again": counts.withColumn("kind", F.lit("delete")),
+        "revise-documents": counts.withColumns({"kind": F.lit("revise"), "old_tokens": guess, "old_chars": F.col("n_chars")}),
+    }
+    for name, changes in batches.items():
+        for _ in range(2):
+            rollup.apply(name, changes)
     return rollup.totals()

@@ -199,6 +199,24 @@ def test_rollup_counts(spark):
     assert {(r.source, r.lang): (r.n_docs, r.n_tokens) for r in got.itertuples()} == {k: tuple(v) for k, v in want.iterrows()}
 
 
+def test_rollup_changes_of_whole_table(spark, monkeypatch):
+    seen, apply = [], token_rollup.TokenRollup.apply
+
+    def spy(self, batch, changes):
+        done = apply(self, batch, changes)
+        seen.extend((r["kind"], r["count"], done) for r in changes.groupBy("kind").count().collect())
+        return done
+
+    monkeypatch.setattr(token_rollup.TokenRollup, "apply", spy)
+    got = token_rollup.op6_token_counts(spark, SF)
+    docs = table(spark, SF, "documents")
+    n = docs.count()
+    assert sorted(x for x in seen if x[2]) == [("delete", n, True), ("insert", n, True), ("insert", n, True), ("revise", n, True)] and len(seen) == 8
+    fresh = token_rollup.count_tokens(docs).groupBy(*token_rollup.KEYS).agg({"*": "count", "n_tokens": "sum", "n_chars": "sum"})
+    want = fresh.select(*token_rollup.KEYS, "count(1)", "sum(n_tokens)", "sum(n_chars)").collect()
+    assert sorted(map(tuple, got.select(*token_rollup.KEYS, *token_rollup.SUMS).collect())) == sorted(map(tuple, want))
+
+
 def test_bpe_routes():
     enc, rnd = bpe.load(*bpe.public()), random.Random(1)
     letters = [chr(c) for c in (9, 10, 13, *range(32, 127), *range(0xA1, 0x250), 0x2019, 0x2026, 0x3042, 0x1F600)] + [" "] * 80 + ["'s", "<|endoftext|>", "\n\n"] * 4
