@@ -6,7 +6,7 @@ statistics come from the training rows; while the network is trained, each half
 statistics of the other half, so that it learns what an unseen word's statistics are worth.
 
 Windows. A text is cut into all windows of WIDTH words, each starting STRIDE words after the last, whatever its
-length. The network reads a window in both directions, attention pools the states, and a text's score is that of
+length, so that every passage of up to WIDTH - STRIDE + 1 words stands whole in one. The network reads a window in both directions, attention pools the states, and a text's score is that of
 its most toxic window, calibrated on the training rows for the number of windows and the share of toxic rows.
 
 ``fit`` takes at most SAMPLE rows of each label (those with the least digest of doc_id); the bound keeps the texts
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from quillmark.llm.common import small_batches, table
 
-WIDTH, STRIDE = 48, 32
+WIDTH, STRIDE = 48, 8
 HIDDEN = 8
 SAMPLE = 1500
 WORD_BITS = GRAM_BITS = 19

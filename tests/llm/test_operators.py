@@ -99,6 +99,15 @@ def test_toxicity_held_out(spark, edge, none):
     assert toxicity.learn(["a"], [0]).scores(["x", None]).tolist() == [0.0, 0.0]
 
 
+def test_toxicity_windows():
+    """Every passage of up to 41 words stands whole in a window."""
+    for n in (1, 40, 48, 49, 55, 56, 57, 100, 333):
+        starts = toxicity.windows(n)
+        for size in range(1, min(n, 41) + 1):
+            for a in range(n - size + 1):
+                assert any(w <= a and a + size <= w + toxicity.WIDTH for w in starts)
+
+
 def test_exact_dedup(spark, edge, none):
     got = {(r["doc_id"], r["kept"]): r for r in exact_dedup.classes(edge).collect()}
     assert got[(4, True)]["keep_id"] == got[(3, False)]["keep_id"] == 4 and got[(3, False)]["group_size"] == 2
