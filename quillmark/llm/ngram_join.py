@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import materialise, small_batches, table, unused
+from quillmark.llm.common import materialise, scratch, small_batches, table, unused
 
 WIDTH = 5
 #: Signatures of a group, on average; the number of groups follows the input.
@@ -47,8 +47,8 @@ GROUP_ROWS = 1_000_000
 CHANCE = 0.02
 #: Members of a bucket's largest part that what is apart from it is held against, before all pairs across parts are.
 HUBS = 6
-#: Pairs across the parts of a bucket, for each member, up to which they are formed as they are.
-LIGHT = 6
+#: Levels of f, for a width of one set size, under which differences from a centre are indexed.
+LEVELS = 8
 #: Up to so many rows of two numbers are broadcast (32 MB); more are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -201,7 +201,7 @@ def buckets(docs: DataFrame, seed: int, n_sets: int, n_shingles: int) -> DataFra
         number = np.repeat(np.array([c for c, _, _, _ in held], np.int64), sizes)
         kind = np.repeat(np.array([(g << 8) | min(r, 255) for _, g, r, _ in held], "<u2"), sizes)
         sig = np.concatenate([x for _, _, _, x in held])
-        group = (((sig >> np.uint64(32)) * np.uint64(groups)) >> np.uint64(32)).astype(np.int64)
+        group = (((sig >> np.uint64(32)) * np.uint64(groups)) >> np.uint64(32)).astype(np.int32)
         order = np.argsort(group, kind="stable")
         group, low, number, kind = group[order], (sig[order] & np.uint64(0xFFFFFFFF)).astype("<u4"), number[order], kind[order]
         cut = np.r_[np.flatnonzero(np.r_[True, np.diff(group) > 0]), len(group)]
@@ -244,8 +244,9 @@ def buckets(docs: DataFrame, seed: int, n_sets: int, n_shingles: int) -> DataFra
         wide = lambda x: np.repeat(x, size).astype(np.int64)
         return pa.table({"bucket": np.repeat(name.view(np.int64), size), "class": number[pick], "band": band[pick].astype(np.int64), "room": (kind[pick] & 255).astype(np.int64), "size": wide(size), "many": wide(many)})
 
-    parts = _text(docs).mapInArrow(emit, "part long, low binary, number binary, kind binary")
-    found = parts.groupBy("part").applyInArrow(meet, "bucket long, class long, band long, room long, size long, many long")
+    parts = _text(docs).mapInArrow(emit, "part int, low binary, number binary, kind binary")
+    # One group a task, whatever their number: hashing would deal several to some.
+    found = parts.repartitionById(groups, "part").groupBy("part").applyInArrow(meet, "bucket long, class long, band long, room long, size long, many long")
     found = found.groupBy("bucket", "class", "band", "room", "size").agg(F.sum("many").alias("many"))
     costliest = Window.partitionBy("class", "band").orderBy(F.desc("size"), "bucket")
     kept = found.withColumn("so_far", F.sum("many").over(costliest.rowsBetween(Window.unboundedPreceding, 0))).where("so_far > room")
@@ -340,73 +341,90 @@ def _main(named: DataFrame) -> DataFrame:
 
 
 def by_centre(named: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Links (a, b), and new buckets in place of those with many pairs across parts; the other buckets stay.
+    """Links (a, b), and new buckets (bucket, class, low, high) for all that is still apart: one that is low with one that is high.
 
     Buckets with one main part are taken together. Their centre is what most hubs of the part hold; d is a
     member's difference from it. |x ^ y| = |dx| + |dy| - 2 |dx & dy| for any centre, and x and y link when
-    9 |x ^ y| <= |x| + |y|. With f = 9 |d| - |x|, those with f(x) + f(y) <= 0 link whatever they share, and all of them
-    link with the member of least f. Its partners, the near ones, are linked by that, so what is left has a far member
-    x, with f(x) > -least. It needs |dx & dy| >= (f(x) + f(y)) / 18, where f(y) is at least ``least`` and, as sizes
-    and |d| of linked sets are close, at least 9 |dx| - 3.5 |x|. So each member indexes just so much of its ordered
-    difference (own shingles before missing ones) that a common shingle is in both indexed parts.
+    9 |x ^ y| <= |x| + |y|. With f = 9 |d| - |x|, that is |dx & dy| >= (f(x) + f(y)) / 18. Those with
+    f(x) + f(y) <= 0 link whatever they share, and all of them link with the member of least f; so what is left has a
+    far member x, with f(x) > -least.
+
+    Differences are indexed by prefixes: with c elements in common, x and y share one of the first |d| - c + 1
+    elements of each, in one order of the centre's elements. Elements that stand in one part alone come first and are
+    not indexed at all, as they link no parts; then the rarer go before the more frequent, so those of the centre that
+    many members lack come last. As c depends on both, f is cut into levels, and a member indexes, for each level in
+    which partners can be, as much as the least f of that level asks for; a pair meets under its two levels alone, its lower member as low, its higher as high.
     """
     main = materialise(_main(named), "parts")
-    many = main.groupBy("main.root").agg(F.sum("crossings").alias("c"), F.sum("members").alias("m")).where(F.col("c") > LIGHT * F.col("m"))
-    heavy = main.join(many.select(F.col("root").alias("r")), F.col("main.root") == F.col("r"), "left_semi")
-    stay = named.join(heavy.select("bucket"), "bucket", "left_anti").select("bucket", "class")
-    members = named.join(heavy.select("bucket", F.col("main.root").alias("centre_of")), "bucket").select("centre_of", "class").distinct()
-    hubs = heavy.groupBy(F.col("main.root").alias("centre_of")).agg(F.max_by("main.hubs", F.struct("members", "bucket")).alias("hubs"))
+    members = named.join(main.select("bucket", F.col("main.root").alias("centre_of")), "bucket").select("centre_of", "class", "root").distinct()
+    hubs = main.groupBy(F.col("main.root").alias("centre_of")).agg(F.max_by("main.hubs", F.struct("members", "bucket")).alias("hubs"))
     hubs = hubs.select("centre_of", F.explode(F.array_distinct("hubs")).alias("class")).join(sets, "class")
 
     def centre(batches):
         for b in batches:
-            out = []
+            out, width = [], []
             for held in b.column(1):
-                value, n = np.unique(np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in held.values]), return_counts=True)
+                each = [np.frombuffer(x.as_buffer(), np.uint64) for x in held.values]
+                value, n = np.unique(np.concatenate(each), return_counts=True)
                 out.append(value[2 * n > len(held)].tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["centre_of", "centre"])
+                width.append(max(18, max(map(len, each)) // LEVELS))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary()), pa.array(width, pa.int64())], names=["centre_of", "centre", "width"])
 
     def differ(batches):
         for b in batches:
-            d, f = [], []
-            for x, y in zip(b.column(2), b.column(3)):
+            d, f, level = [np.empty(0, np.int64)], [], []
+            for x, y, width in zip(b.column(3), b.column(4), b.column(5).to_pylist()):
                 own = np.frombuffer(x.as_buffer(), np.uint64)
-                middle = np.frombuffer(y.as_buffer(), np.uint64)
-                d.append(np.r_[np.setdiff1d(own, middle, assume_unique=True), np.setdiff1d(middle, own, assume_unique=True)])
+                d.append(np.setxor1d(own, np.frombuffer(y.as_buffer(), np.uint64), assume_unique=True).view(np.int64))
                 f.append(9 * len(d[-1]) - len(own))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(f, pa.int64()), pa.array([x.tobytes() for x in d], pa.binary())], names=["centre_of", "class", "f", "d"])
+                level.append(f[-1] // width)
+            lists = pa.ListArray.from_arrays(np.cumsum([len(x) for x in d], dtype=np.int32), np.concatenate(d))
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(3)), pa.array(f, pa.int64()), pa.array(level, pa.int64()), lists], names=["centre_of", "class", "root", "f", "level", "d"])
 
     def index(batches):
         for b in batches:
-            name, number = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-            for key, c, f, d, least in zip(*(b.column(i) for i in range(5))):
-                x = np.frombuffer(d.as_buffer(), np.uint64)
-                far, low = f.as_py(), least.as_py()
-                if far + low > 0:
-                    size = 9 * len(x) - far
-                    partner = max(low, 9 * len(x) - 7 * size // 2 - 1)
-                else:
-                    partner = 1 - low
-                common = max(1, -(-(far + partner) // 18))
-                x = x[: max(0, len(x) - common + 1)]
-                name.append(mix(x + np.uint64(key.as_py() % 2**64)).view(np.int64))
-                number.append(np.full(len(x), c.as_py()))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(name)), pa.array(np.concatenate(number))], names=["bucket", "class"])
-
-    centres = materialise(hubs.groupBy("centre_of").agg(F.collect_list("set")).mapInArrow(centre, "centre_of long, centre binary"), "centres")
-    small = centres.agg(F.coalesce(F.sum(F.length("centre") + 16), F.lit(0))).first()[0] <= 16 * BROADCAST_ROWS
+            name, number, low, high = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, bool)], [np.empty(0, bool)]
+            for centre_of, c, f, level, size, least, levels, held in zip(*(b.column(i).to_pylist() for i in range(7)), b.column(7)):
+                token = mix(held.values.to_numpy().view(np.uint64))
+                for other in levels:
+                    if max(f, other["high"]) <= -least:
+                        continue  # both are near
+                    common = max(1, -(-(f + other["low"]) // 18))
+                    if common > min(size, other["longest"]):
+                        continue
+                    x = token[: max(0, len(token) + 1 - common)]
+                    pair = min(level, other["level"]) * int(_FACTORS[3]) + max(level, other["level"]) * int(_FACTORS[4]) + centre_of
+                    name.append(mix(x + np.uint64(pair % 2**64)).view(np.int64))
+                    number.append(np.full(len(x), c))
+                    low.append(np.full(len(x), level <= other["level"]))
+                    high.append(np.full(len(x), level >= other["level"]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (name, number, low, high)], names=["bucket", "class", "low", "high"])
+
+    centres = materialise(hubs.groupBy("centre_of").agg(F.collect_list("set")).mapInArrow(centre, "centre_of long, centre binary, width long"), "centres")
+    small = centres.agg(F.coalesce(F.sum(F.length("centre") + 24), F.lit(0))).first()[0] <= 16 * BROADCAST_ROWS
     known = members.join(sets, "class").join(F.broadcast(centres) if small else centres, "centre_of")
-    deltas = materialise(known.select("centre_of", "class", "set", "centre").mapInArrow(differ, "centre_of long, class long, f long, d binary"), "deltas")
-    least = deltas.groupBy("centre_of").agg(F.min("f").alias("least"), F.min_by("class", F.struct("f", "class")).alias("a"))
-    with_least = deltas.join(least, "centre_of")
-    links = materialise(with_least.where("f + least <= 0 and a <> class").select("a", F.col("class").alias("b")), "sums")
-    rows = materialise(with_least.select("centre_of", "class", "f", "d", "least").mapInArrow(index, "bucket long, class long"), "indexed")
-    several = rows.groupBy("bucket").count().where("count > 1").select("bucket")
-    return links, materialise(stay.union(rows.join(several, "bucket").select("bucket", "class")), "buckets")
+    deltas = materialise(known.select("centre_of", "class", "root", "set", "centre", "width").mapInArrow(differ, "centre_of long, class long, root long, f long, level long, d array<long>"), "deltas")
+    levels = deltas.groupBy("centre_of", "level").agg(F.min("f").alias("low"), F.max("f").alias("high"), F.max(F.size("d")).alias("longest"), F.min_by("class", F.struct("f", "class")).alias("a"))
+    levels = levels.groupBy("centre_of").agg(F.min("low").alias("least"), F.min_by("a", F.struct("low", "a")).alias("a"), F.collect_list(F.struct("level", "low", "high", "longest")).alias("levels"))
+    levels = materialise(levels, "levels")
+    small = levels.agg(F.coalesce(F.sum(24 + 24 * F.size("levels")), F.lit(0))).first()[0] <= 16 * BROADCAST_ROWS
+    levels = F.broadcast(levels) if small else levels
+    links = materialise(deltas.drop("d").join(levels.drop("levels"), "centre_of").where("f + least <= 0 and a <> class").select("a", F.col("class").alias("b")), "sums")
+    elements = deltas.select("centre_of", "class", "root", F.explode("d").alias("e"))
+    shared = elements.groupBy("centre_of", "e").agg(F.count("*").alias("n"), F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("centre_of", "e", "n")
+    tokens = elements.drop("root").join(shared, ["centre_of", "e"]).groupBy("centre_of", "class").agg(F.sort_array(F.collect_list(F.struct("n", "e"))).alias("tokens"))
+    rows = deltas.select("centre_of", "class", "f", "level", F.size("d").alias("size")).join(tokens, ["centre_of", "class"]).join(levels.drop("a"), "centre_of")
+    rows = rows.select("centre_of", "class", "f", "level", "size", "least", "levels", F.col("tokens.e").alias("tokens"))
+    return links, materialise(rows.mapInArrow(index, "bucket long, class long, low boolean, high boolean"), "buckets")
 
 
 def link(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
+    with scratch(docs.sparkSession):
+        return materialise(_link(docs), "linked", keep=True)
+
+
+def _link(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
     rows, seed = classify(docs)
     totals = rows.agg(F.count("*"), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
@@ -419,13 +437,11 @@ def link(docs: DataFrame) -> DataFrame:
     links = links.union(against_hubs(named, sets))
     sums, found = by_centre(_apart(named.select("bucket", "class"), components(links)), sets)
     links = links.union(sums)
-    named = _apart(found, components(links))
-    links = links.union(against_hubs(named, sets))
     roots = components(links)
     # What is left: all pairs in a bucket whose roots differ.
-    named = _apart(named.select("bucket", "class"), roots)
-    one, two = named.select("bucket", F.col("class").alias("a"), F.col("root").alias("ra")), named.select("bucket", F.col("class").alias("b"), F.col("root").alias("rb"))
-    rest = one.join(two, "bucket").where("a < b and ra <> rb").select("a", "b").distinct()
+    named = _apart(found, roots)
+    one, two = (named.where(side).select("bucket", F.col("class").alias(c), F.col("root").alias(f"root_{c}")) for side, c in (("low", "a"), ("high", "b")))
+    rest = one.join(two, "bucket").where("root_a <> root_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     more = materialise(verify(rest, sets), "crossings")
     if more.limit(1).count():
         roots = components(links.union(more))

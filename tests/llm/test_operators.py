@@ -362,7 +362,6 @@ def test_components(spark, monkeypatch, most):
 def test_large_group_by_centre(spark, monkeypatch):
     """Variants of one text that link with one another through shared changes, with few hubs, so that pairs across parts go by the centre."""
     monkeypatch.setattr(ngram_join, "HUBS", 1)
-    monkeypatch.setattr(ngram_join, "LIGHT", 0)
     moved, plain = [], ngram_join.by_centre
 
     def counted(named, sets):
