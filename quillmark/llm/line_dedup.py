@@ -50,7 +50,8 @@ def n_lines(chunk: Column) -> Column:
 
 def is_multi_line(chunk: Column) -> Column:
     """Whether LEAST_LINES or more lines of it are not blank."""
-    return F.regexp_count(chunk, F.lit(r"(?m)^.*[^\x20\x09-\x0D].*$")) >= LEAST_LINES
+    # Lines end at "\\n" alone; (?m) would also end them at a lone CR, U+0085, U+2028 and U+2029.
+    return F.regexp_count(chunk, F.lit(r"[^\x20\x09-\x0D][^\n]*(?:\n|\z)")) >= LEAST_LINES
 
 
 def repeated(docs: DataFrame) -> DataFrame:
