@@ -10,13 +10,15 @@ others are revisits that refer to it and state its digest and length.
 Defined results: null html is an empty payload; a null url leaves its header out and control characters in a url
 are percent-encoded; of a group whose page_ids are all null, or that tie for the largest, each is a response;
 repeated rows are a record each; an empty table writes nothing and reads as an empty table; extra columns are
-ignored. A damaged member is passed over and the search goes on behind its start.
+ignored. A damaged member is passed over and the search goes on behind its start; ``whole`` compares the number of
+records with the manifest and raises if some are missing.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 
@@ -24,11 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import materialise, new_path, small_batches, table
+from quillmark.llm.common import materialise, new_path, scratch, small_batches, table
 
 LEAST = 1000
 MAGIC = b"\x1f\x8b\x08"
 SPLIT_BYTES = 8 << 20
+RANGES = 32
 FILE_BYTES = 64 << 20
 _STEP = 1 << 18
 RECORD = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
@@ -60,22 +63,42 @@ def record_bytes(page_id: int | None, url: str | None, payload: bytes, record_ty
 
 
 def parse_record(data: bytes) -> dict | None:
-    """The RECORD fields of an inflated member; None if it is not a whole record or its payload differs from its digest."""
+    """The RECORD fields of an inflated member; None if it is not a whole record or its payload differs from its digest.
+
+    Records of other writers are records too: of any type, with ids of any form (page_id is null then), with or without
+    a payload digest and an HTTP Content-Length. The payload of a response is what follows its HTTP header, that of
+    records without one their block."""
     head, _, rest = data.partition(b"\r\n\r\n")
-    fields = dict(line.split(": ", 1) for line in head.decode("utf-8", "replace").split("\r\n")[1:] if ": " in line)
-    try:
-        block = rest[: int(fields["Content-Length"])]
-        if len(block) < int(fields["Content-Length"]):
-            return None
-        http, _, payload = block.partition(b"\r\n\r\n")
-        length = int(next(x.split(b":")[1] for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")))
-        digest = base64.b32decode(fields["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
-    except (KeyError, ValueError, StopIteration):
+    fields = {k.strip().lower(): v.strip() for k, colon, v in (x.partition(":") for x in head.decode("utf-8", "replace").split("\r\n")[1:]) if colon}
+    kind, length = fields.get("warc-type"), fields.get("content-length", "")
+    if not kind or not length.isdigit() or len(rest) < int(length):
+        return None
+    payload, told = rest[: int(length)], None
+    if fields.get("content-type", "").lower().startswith("application/http"):
+        http, _, payload = payload.partition(b"\r\n\r\n")
+        told = next((int(v) for k, _, v in (x.partition(b":") for x in http.split(b"\r\n")) if k.strip().lower() == b"content-length" and v.strip().isdigit()), None)
+    digest = _digest(fields.get("warc-payload-digest"))
+    if kind == "revisit":
+        return _row(fields, kind, told, digest, None)
+    actual = hashlib.sha1(payload).hexdigest()
+    if digest not in (None, actual):
         return None
-    if fields["WARC-Type"] == "response" and (len(payload) != length or hashlib.sha1(payload).hexdigest() != digest):
+    return _row(fields, kind, len(payload), actual, payload)
+
+
+def _digest(value: str | None) -> str | None:
+    """The hex form of a SHA-1 digest in base 32 or hex; None for none and other kinds."""
+    name, _, body = (value or "").partition(":")
+    if name.lower() != "sha1":
         return None
-    number = lambda x: None if x is None or x == "<urn:x-page:None>" else int(x[len("<urn:x-page:") : -1])
-    return {"page_id": number(fields["WARC-Record-ID"]), "url": fields.get("WARC-Target-URI"), "record_type": fields["WARC-Type"], "refers_to": number(fields.get("WARC-Refers-To")), "payload_bytes": length, "payload_digest": digest, "payload": payload if fields["WARC-Type"] == "response" else None}
+    if re.fullmatch("[0-9a-fA-F]{40}", body):
+        return body.lower()
+    return base64.b32decode(body.upper()).hex() if re.fullmatch("[A-Za-z2-7]{32}", body) else None
+
+
+def _row(fields: dict, kind: str, n: int | None, digest: str | None, payload: bytes | None) -> dict:
+    own = lambda x: int(m[1]) if (m := re.fullmatch(r"<urn:x-page:(-?[0-9]{1,18})>", fields.get(x, ""))) else None
+    return {"page_id": own("warc-record-id"), "url": fields.get("warc-target-uri"), "record_type": kind, "refers_to": own("warc-refers-to"), "payload_bytes": n, "payload_digest": digest, "payload": payload}
 
 
 def _open(uri: str):
@@ -170,13 +193,25 @@ def read_archives(manifest: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFr
                             rows, held = [], 0
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
-    # A given number of partitions, since adaptive execution would gather these small rows into few tasks.
-    return splits.repartition(max(1, splits.count()), "path", "start").mapInArrow(run, RECORD)
+    # A given number of partitions, since adaptive execution would gather these small rows into few tasks; up to
+    # RANGES ranges a task once every core has some.
+    n, parallel = splits.count(), manifest.sparkSession.sparkContext.defaultParallelism
+    return splits.repartition(max(1, min(n, max(4 * parallel, n // RANGES))), "path", "start").mapInArrow(run, RECORD)
+
+
+def whole(records: DataFrame, manifest: DataFrame) -> DataFrame:
+    """records, if they are as many as the manifest says; raises if archives lost or damaged some."""
+    wanted = manifest.agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0]
+    if (found := records.count()) != wanted:
+        raise RuntimeError(f"{found} records were read of {wanted} written")
+    return records
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    manifest = write_archives(plan_records(table(spark, sf_dir, "pages")), new_path(spark, "warc"))
-    return read_archives(manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    with scratch(spark):
+        manifest = write_archives(plan_records(table(spark, sf_dir, "pages")), new_path(spark, "warc"))
+        found = read_archives(manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+        return whole(materialise(found, "warc-records", keep=True), manifest)
 
 
 OP7_SQL = """
