@@ -23,11 +23,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillmark.llm import bpe
-from quillmark.llm.common import small_batches, table
+from quillmark.llm.common import materialise, small_batches, table
 
 CAPACITY = 2048
 END = 0
-GROUP_SIZE = 8192
+GROUP_SIZE = 32768
 
 
 def cuts(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
@@ -133,23 +133,25 @@ def local_search(sizes: np.ndarray, bins: np.ndarray, capacity: int = CAPACITY)
                 continue
             near = near[open_bins[bins[near]]]
             there = bins[near]
-            give = [([x], int(sizes[x])) for x in mine] + [([x, y], int(sizes[x] + sizes[y])) for k, x in enumerate(mine[:12]) for y in mine[k + 1 : 12]]
-            for own, s in give:
-                gain = s - sizes[near]
-                gain = np.where((gain > 0) & (gain <= slack[there]), gain, 0)
-                k = int(np.argmax(gain)) if len(gain) else 0
-                if len(gain) and gain[k]:
-                    for x in own:
-                        put(x, int(there[k]))
-                    put(int(near[k]), v)
-                    moved = True
-                    break
-                if len(own) == 1 and len(near) > 1:  # one for two neighbours in size of one bin
-                    gain = s - sizes[near[:-1]] - sizes[near[1:]]
+            # One or two of v for one of a fuller bin: ways[s] has the documents of v that sum to s, reach[r] the largest such s up to r.
+            ways = {int(sizes[x] + sizes[y]): [x, y] for k, x in enumerate(mine) for y in mine[k + 1 :]} | {int(sizes[x]): [x] for x in mine}
+            has = np.zeros(2 * capacity + 1, np.int64)
+            has[list(ways)] = list(ways)
+            reach = np.maximum.accumulate(has)
+            gain = reach[np.minimum(sizes[near] + slack[there], 2 * capacity)] - sizes[near] if len(near) else np.empty(0)
+            k = int(np.argmax(gain)) if len(gain) else 0
+            if len(gain) and gain[k] > 0:
+                for x in ways[int(gain[k] + sizes[near[k]])]:
+                    put(x, int(there[k]))
+                put(int(near[k]), v)
+                moved = True
+            elif len(near) > 1:
+                for x in mine:  # one for two neighbours in size of one bin
+                    gain = sizes[x] - sizes[near[:-1]] - sizes[near[1:]]
                     gain = np.where((there[:-1] == there[1:]) & (gain > 0) & (gain <= slack[there[:-1]]), gain, 0)
                     k = int(np.argmax(gain))
                     if gain[k]:
-                        put(own[0], int(there[k]))
+                        put(x, int(there[k]))
                         put(int(near[k]), v)
                         put(int(near[k + 1]), v)
                         moved = True
@@ -161,6 +163,7 @@ def local_search(sizes: np.ndarray, bins: np.ndarray, capacity: int = CAPACITY)
             stuck.add(v)
         else:
             del members[v]
+            stuck.clear()  # other bins have changed
     return np.unique(bins, return_inverse=True)[1]
 
 
@@ -175,9 +178,10 @@ def pack_sizes(sizes: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
     return out
 
 
-def pack(pieces: DataFrame, n_documents: int, capacity: int = CAPACITY, group_size: int = GROUP_SIZE) -> DataFrame:
-    """pieces with sequence_id and offset. n_documents sets the number of groups."""
-    groups = max(1, -(-n_documents // group_size))
+def pack(pieces: DataFrame, capacity: int = CAPACITY, group_size: int = GROUP_SIZE) -> DataFrame:
+    """pieces with sequence_id and offset. Pieces that fill a sequence have one of their own (a negative id) and join no group."""
+    pieces = materialise(pieces, "pieces")
+    groups = max(1, -(-pieces.where(F.col("length") < capacity).count() // group_size))
     schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
@@ -193,7 +197,9 @@ def pack(pieces: DataFrame, n_documents: int, capacity: int = CAPACITY, group_si
         frame["offset"] = offset
         return frame[[f.name for f in schema.fields]]
 
-    return pieces.groupBy(F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)).alias("pack_group")).applyInPandas(run, schema)
+    full = pieces.where(F.col("length") >= capacity).withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
+    rest = pieces.where(F.col("length") < capacity)
+    return full.union(rest.groupBy(F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)).alias("pack_group")).applyInPandas(run, schema))
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -201,4 +207,4 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack(tokenise(docs, keep_ids=False), docs.count())
+    return pack(tokenise(docs, keep_ids=False))

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import WORD, materialise, table, unused
+from quillmark.llm.common import WORD, light, materialise, table, unused
 
 WEIGHTS = (3, 1, 2)
 TOTAL, CAP = 1.5, 2
@@ -104,11 +104,20 @@ def ordered(rows: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """Copies of docs in training order: its columns alone, as often as the mix takes each row."""
-    keep, = unused(docs.columns, "row")
-    sized = docs.select(F.struct("*").alias(keep), "doc_id", "source", size(F.col("text")).alias("size"))
-    flat = ordered(places(sized, **options))
-    return flat.select(*(F.col(keep).getField(c).alias(c) for c in docs.columns))
+    """Copies of docs in training order: its columns alone, as often as the mix takes each row.
+
+    Places are computed and range-sorted as ids and sizes; texts then go straight to the task that their position
+    belongs to. Only if rows share a doc_id do they carry their texts through."""
+    keep, key, part, at = unused(docs.columns, "row", "q_key", "q_part", "q_at")
+    if docs.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        flat = ordered(places(docs.select(F.struct("*").alias(keep), "doc_id", "source", size(F.col("text")).alias("size")), **options))
+        return flat.select(*(F.col(keep).getField(c).alias(c) for c in docs.columns))
+    sizes = materialise(docs.select("doc_id", "source", size(F.col("text")).alias("size")), "sizes")
+    flat = ordered(places(sizes, **options).where("size(positions) > 0").select("doc_id", "positions"))
+    flat = materialise(flat.select(F.col("doc_id").alias(key), F.spark_partition_id().alias(part), F.col("position").alias(at)), "positions")
+    n = flat.agg(F.max(part)).first()[0]
+    dealt = docs.join(light(flat), docs["doc_id"].eqNullSafe(F.col(key))).repartitionById(1 if n is None else n + 1, part)
+    return dealt.sortWithinPartitions(at, "doc_id").select(*docs.columns)
 
 
 def op4_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

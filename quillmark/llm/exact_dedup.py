@@ -8,7 +8,7 @@ equal; from there on only recipes move, never texts.
 
 Defined results: a null text counts as empty, and so do texts of blanks alone (all these are one group). Of equal
 texts the row with the most code points stays, then the one with the smallest doc_id (a null doc_id loses); of
-repeated rows that tie in both, one stays. Empty tables give empty results. ``keep_one`` keeps all columns of docs;
+repeated rows that tie in both, one stays. doc_id is an integer. Empty tables give empty results. ``keep_one`` keeps all columns of docs;
 helper columns get names that do not clash.
 """
 
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import materialise, table, unused
+from quillmark.llm.common import light, materialise, table, unused
 
 #: A chunk has LEAST to MOST characters and ends, from LEAST on, behind the first place that CUT describes.
 #: CUT looks at characters only, so that an insertion moves boundaries near it alone.
@@ -75,9 +75,13 @@ def classes(docs: DataFrame, make=identifier) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, make=identifier) -> DataFrame:
-    """docs without all but one of each group of equal texts; columns as they are."""
+    """docs without all but one of each group of equal texts; columns as they are. What stays is decided on recipes;
+    of the documents only ids are compared with it, unless rows share a doc_id, which then meet with their texts."""
     num, sha, points = unused(docs.columns, "q_num", "q_sha", "q_points")
-    stay = classes(docs, make).where("kept").select(F.col("doc_id").alias(num), F.col("text_sha256").alias(sha))
+    rows = materialise(classes(docs, make).select(F.col("doc_id").alias(num), F.col("text_sha256").alias(sha), "kept"), "classes")
+    stay = rows.where("kept").drop("kept")
+    if not rows.groupBy(num).count().where("count > 1").limit(1).count():
+        return docs.join(light(stay.select(num)), docs["doc_id"].eqNullSafe(F.col(num)), "left_semi")
     marked = docs.select("*", F.sha2(normal(F.col("text")), 256).alias(sha + "_"), F.char_length(F.coalesce("text", F.lit(""))).alias(points))
     found = marked.join(stay, marked["doc_id"].eqNullSafe(F.col(num)) & (F.col(sha + "_") == F.col(sha)))
     ranked = found.withColumn(num, F.row_number().over(Window.partitionBy("doc_id", sha).orderBy(F.desc(points))))

@@ -246,7 +246,7 @@ def test_warc(spark):
 
 
 def test_packing(spark, edge, none):
-    got = best_fit_packing.pack(best_fit_packing.tokenise(edge), len(EDGE)).toPandas()
+    got = best_fit_packing.pack(best_fit_packing.tokenise(edge)).toPandas()
     enc = bpe.load(*bpe.public())
     total = 0
     for doc, text in {(r[0], r[1]) for r in EDGE}:
@@ -257,7 +257,7 @@ def test_packing(spark, edge, none):
         total += len(ids) * copies
     for _, g in got.sort_values("offset").groupby("sequence_id"):
         assert (g.offset.to_numpy() == g.length.cumsum().to_numpy() - g.length.to_numpy()).all() and g.length.sum() <= 2048
-    assert got.length.sum() == total and best_fit_packing.pack(best_fit_packing.tokenise(none), 0).count() == 0
+    assert got.length.sum() == total and best_fit_packing.pack(best_fit_packing.tokenise(none)).count() == 0
 
 
 def test_local_search():
