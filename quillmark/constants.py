@@ -8,7 +8,7 @@ RECALL_SEMANTIC, RECALL_KEYWORD, RECALL_RECENCY, RECALL_MIN, RECALL_CANDIDATES =
 DUPLICATE_COSINE, DUPLICATE_JACCARD = 0.92, 0.7
 CONTRADICTION_COSINE, CONTRADICTION_DAYS, CONTRADICTION_DIVERGENCE = 0.85, 7, 0.30
 STOP_WORDS = ["a", "an", "the", "and", "or", "of", "to", "in", "on", "at", "is", "it", "we", "i", "for", "as", "by", "be", "are", "was", "with"]
-DEFINITION_KINDS = ["function", "class", "method", "struct", "trait", "impl", "enum", "interface", "type"]
+DEFINITION_KINDS = ["function", "async function", "class", "method", "struct", "trait", "impl", "enum", "interface", "type"]
 KIND_SHORT = {"function": "fn", "async function": "afn", "class": "cls", "method": "meth", "interface": "iface", "type": "type", "enum": "enum", "struct": "struct", "trait": "trait", "impl": "impl", "export": "exp", "const": "const"}
 SKIP_DIRS = ["node_modules", ".git", ".next", "dist", "build", "target", "coverage", "__pycache__", ".venv", "venv", ".DS_Store"]
 SOURCE_EXTENSIONS = ["js", "jsx", "ts", "tsx", "mjs", "cjs", "py", "pyi", "rs", "go", "java", "kt", "scala", "rb", "php", "c", "cpp", "cc", "h", "hpp", "cs", "swift", "json", "yaml", "yml", "toml", "md", "txt", "css", "scss", "less", "html", "vue", "svelte", "sql", "sh", "bash", "zsh", "dockerfile"]

@@ -27,8 +27,8 @@ def apply_changes(table: DataFrame, deleted: DataFrame, upserts: DataFrame, key:
 
 _IMPORTS = {
     "py": [r"^\s*from\s+(\S+)\s+import", r"^\s*import\s+(.+)"],
-    "js": [r"""^\s*import\b.*?['"]([^'"]+)['"]""", r"""\brequire\(\s*['"]([^'"]+)['"]""", r"""^\s*export\b.*\bfrom\s+['"]([^'"]+)['"]"""],
-    "rs": [r"^\s*(?:pub\s+)?use\s+(crate(?:::\w+)?|\w+)", r"^\s*(?:pub\s+)?mod\s+(\w+)\s*;"],
+    "js": [r"""^\s*import\s.*\bfrom\b.*?['"]([^'"]+)['"]""", r"""\brequire\(\s*['"]([^'"]+)['"]""", r"""^\s*export\b.*\bfrom\s+['"]([^'"]+)['"]"""],
+    "rs": [r"^\s*use (crate::\w+)", r"^\s*mod\s+(\w+)\s*;\s*$"],
     "go": [r'^\s*import\s+(?:[\w.]+\s+)?"([^"]+)"', r'^\s*(?:[\w.]+\s+)?"([^"]+)"'],
     "c": [r'^\s*#\s*include\s+"([^"]+)"'],
 }
@@ -212,7 +212,7 @@ def import_candidates(name: str, importer: str) -> list[str]:
         if not name.startswith((".", "/")):
             return []
         at = clean(name if name.startswith("/") else f"{folder}/{name}")
-        return [at, *(f"{at}.{e}" for e in ("js", "ts", "tsx", "jsx")), *(f"{at}/index.{e}" for e in ("ts", "tsx", "js", "jsx"))]
+        return [at, *(f"{at}.{e}" for e in ("ts", "tsx", "js", "jsx")), *(f"{at}/index.{e}" for e in ("ts", "tsx", "js", "jsx"))]
     if family == "py":
         at = name.replace(".", "/")
         return [f"{at}.py", f"{at}/__init__.py", f"{at}.pyi"]

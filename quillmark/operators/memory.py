@@ -26,12 +26,15 @@ def recency_rank(memories: DataFrame, limit: int | None = None) -> DataFrame:
     return rows.withColumn("recency", 1 - place / F.count("*").over(Window.partitionBy()))
 
 
-def recall(memories: DataFrame, query: str, vector: list[float], k: int = 5, category: str | None = None) -> DataFrame:
-    """The k best of the newest notes: meaning, keywords and recency; cut to k first, then by the least score."""
+def recall(memories: DataFrame, query: str, vector: list[float], k: int = 5, category: str | None = None, now: int | None = None) -> DataFrame:
+    """The k best of the newest notes: meaning, keywords, and recency, half of it for age and half for the last access
+    (epoch seconds in last_accessed_at, if that column is there); cut to k first, then by the least score."""
     pool = memories.where(F.col("category") == category) if category else memories
     pool = recency_rank(pool, K.RECALL_CANDIDATES)
     q = F.array(*map(F.lit, map(float, vector)))
     score = K.RECALL_SEMANTIC * V.cosine(F.col("embedding"), q) + T.keyword_score(F.col("content"), query, K.RECALL_KEYWORD) + K.RECALL_RECENCY / 2 * F.col("recency")
+    if "last_accessed_at" in memories.columns:
+        score = score + K.RECALL_RECENCY / 2 * access_recency(F.col("last_accessed_at"), F.lit(now) if now is not None else F.unix_timestamp())
     best = pool.withColumn("score", score).orderBy(F.desc("score"), F.desc("created_at"), F.desc("id")).limit(k)
     return best.where(F.col("score") > K.RECALL_MIN)
 
@@ -67,13 +70,22 @@ def pairs_by_cosine(rows: DataFrame, least: float, id_col: str = "id", vec_col:
 
 
 def contradictions(memories: DataFrame, least: float = K.CONTRADICTION_COSINE, days: int = K.CONTRADICTION_DAYS, divergence: float = K.CONTRADICTION_DIVERGENCE) -> DataFrame:
-    """Pairs of like notes, some days apart, whose texts differ: most alike first."""
+    """Pairs of like notes, some days apart, whose texts differ."""
     pairs = pairs_by_cosine(memories, least)
     side = lambda s: memories.select(F.col("id").alias(s), F.col("content").alias(f"{s}_text"), T.pseudo_days(F.col("created_at")).alias(f"{s}_day"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").where(F.abs(F.col("a_day") - F.col("b_day")) >= days)
     return both.withColumn("divergence", T.divergence(F.col("a_text"), F.col("b_text"))).where(F.col("divergence") >= divergence).select("a", "b", "cosine", "divergence")
 
 
+def contradiction_review(memories: DataFrame, limit: int, least: float = K.CONTRADICTION_COSINE, **options) -> DataFrame:
+    """The `limit` most alike contradictions as older_id and newer_id (by created_at, then id), similarity, divergence."""
+    age = lambda s: memories.select(F.col("id").alias(s), F.col("created_at").alias(f"{s}_at"))
+    best = contradictions(memories, least, **options).orderBy(F.desc("cosine"), "a", "b").limit(limit)
+    first = F.struct("a_at", "a") <= F.struct(F.col("b_at"), F.col("b"))
+    dated = best.join(age("a"), "a").join(age("b"), "b")
+    return dated.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("older_id"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("newer_id"), F.col("cosine").alias("similarity"), "divergence").orderBy(F.desc("similarity"), "older_id", "newer_id")
+
+
 def save_outcomes(new: DataFrame, memories: DataFrame, cosine: float = K.DUPLICATE_COSINE, jaccard: float = K.DUPLICATE_JACCARD) -> DataFrame:
     """Outcome for each new note: merged into, or linked to, its most alike note that passes both gates, else inserted.
 

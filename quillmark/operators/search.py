@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmark import constants as K
 from quillmark.functions import text as T
+from quillmark.functions import vector as V
 
 
 def query_words(query: str) -> list[str]:
@@ -46,11 +49,18 @@ def name_score(name: Column, query: str) -> Column:
     return F.when(low == q, K.EXACT_NAME).when(F.contains(low, F.lit(q)), K.SUBSTRING_NAME).otherwise(partly)
 
 
-def symbol_score(symbols: DataFrame, query: str) -> DataFrame:
-    """Symbols with a score above 0: name match, then 1.5 times for definitions, 0.2 times for small exports."""
+def symbol_score(symbols: DataFrame, query: str, vector: list[float] | None = None) -> DataFrame:
+    """Symbols with a score above 0: name match and, with a vector, likeness of meaning; then 1.5 times for definitions,
+    0.2 times for destructured names, require() and small exports."""
     kind = F.col("kind")
-    factor = F.when(kind.isin(K.DEFINITION_KINDS), K.DEFINITION_FACTOR).when((kind == "export") & (F.col("end_line") - F.col("start_line") < 3), K.IMPORT_FACTOR).otherwise(1.0)
-    return symbols.withColumn("score", name_score(F.col("name"), query) * factor).where("score > 0")
+    imported = F.startswith(F.col("name"), F.lit("{")) | F.startswith(F.col("name"), F.lit("[")) | F.contains("signature", F.lit("require("))
+    small = (kind == "export") & (F.col("end_line") - F.col("start_line") < 3)
+    factor = F.when(~imported & kind.isin(K.DEFINITION_KINDS), K.DEFINITION_FACTOR).when(imported | small, K.IMPORT_FACTOR).otherwise(1.0)
+    score = name_score(F.col("name"), query)
+    if vector is not None:
+        near = V.cosine(F.col("embedding"), F.array(*map(F.lit, map(float, vector))))
+        score = score + F.when(near > K.SYMBOL_SIM_MIN, near * K.SYMBOL_SIM_WEIGHT).otherwise(0.0)
+    return symbols.withColumn("score", score * factor).where("score > 0")
 
 
 def relevance(symbols: DataFrame, query: str) -> DataFrame:
@@ -58,7 +68,7 @@ def relevance(symbols: DataFrame, query: str) -> DataFrame:
     q, low, sig = query.lower(), F.lower("name"), F.lower("signature")
     name = F.when(low == q, 0.5).when(F.contains(low, F.lit(q)) | F.contains(F.lit(q), low), 0.3).otherwise(0.0)
     words = sum((F.when(T.has_word(sig, w), 0.1).otherwise(0.0) for w in q.split() if len(w.encode()) >= 3), F.lit(0.0))
-    long_ = F.when(F.col("end_line") - F.col("start_line") > 10, 0.05).otherwise(0.0)
+    long_ = F.when(F.col("end_line") - F.col("start_line") + 1 > 10, 0.05).otherwise(0.0)
     return symbols.withColumn("relevance", F.least(F.lit(1.0), name + words + long_))
 
 
@@ -101,8 +111,9 @@ def line_kinds(files: DataFrame, query: str) -> DataFrame:
         return out
 
     def is_import(line: Column) -> Column:
-        t = F.trim(line)
-        return F.startswith(t, F.lit("import ")) | F.startswith(t, F.lit("use ")) | F.startswith(t, F.lit("from ")) | F.startswith(t, F.lit("#include")) | (F.contains(t, F.lit("require(")) & (F.startswith(t, F.lit("const ")) | F.startswith(t, F.lit("let ")) | F.startswith(t, F.lit("var "))))
+        t = F.regexp_replace(line, r"^\s+|\s+$", "")
+        starts = lambda *heads: reduce(lambda a, b: a | b, (F.startswith(t, F.lit(h)) for h in heads))
+        return starts("import ", "from ", "#include") | F.contains(t, F.lit("require(")) & (starts("const {") | starts("const ") & F.contains(t, F.lit("}")))
 
     lines = F.filter(F.split("content", "\n"), hit)
     return files.select("relative_path", lines.alias("hits")).select("relative_path", F.size(F.filter("hits", lambda x: ~is_import(x))).cast("long").alias("code_lines"), F.size(F.filter("hits", is_import)).cast("long").alias("import_lines"))

@@ -171,7 +171,7 @@ def symbol_score(spark, d):
     return search.symbol_score(S.symbols(spark, d), QUERY).select("symbol_id", F.round("score", 6).alias("score"))
 
 
-@query(rf"WITH {SQL_SYMBOLS} SELECT symbol_id, round(least(1.0, CASE WHEN lower(name) = 'small ring' THEN 0.5 WHEN contains(lower(name), 'small ring') OR contains('small ring', lower(name)) THEN 0.3 ELSE 0 END + CASE WHEN regexp_matches(lower(signature), '(^|[^A-Za-z0-9])small($|[^a-z0-9])') THEN 0.1 ELSE 0 END + CASE WHEN regexp_matches(lower(signature), '(^|[^A-Za-z0-9])ring($|[^a-z0-9])') THEN 0.1 ELSE 0 END + CASE WHEN end_line - start_line > 10 THEN 0.05 ELSE 0 END)::DOUBLE, 6) AS relevance FROM symbols")
+@query(rf"WITH {SQL_SYMBOLS} SELECT symbol_id, round(least(1.0, CASE WHEN lower(name) = 'small ring' THEN 0.5 WHEN contains(lower(name), 'small ring') OR contains('small ring', lower(name)) THEN 0.3 ELSE 0 END + CASE WHEN regexp_matches(lower(signature), '(^|[^A-Za-z0-9])small($|[^a-z0-9])') THEN 0.1 ELSE 0 END + CASE WHEN regexp_matches(lower(signature), '(^|[^A-Za-z0-9])ring($|[^a-z0-9])') THEN 0.1 ELSE 0 END + CASE WHEN end_line - start_line + 1 > 10 THEN 0.05 ELSE 0 END)::DOUBLE, 6) AS relevance FROM symbols")
 def symbol_relevance(spark, d):
     return search.relevance(S.symbols(spark, d), QUERY).select("symbol_id", F.round("relevance", 6).alias("relevance"))
 
@@ -187,7 +187,8 @@ def first_wins_dedupe(spark, d):
 
 
 SQL_HIT = "(contains(lower(x), 'import') OR contains(lower(x), 'impo') OR contains(lower(x), 'the'))"
-SQL_IMPORT = "(prefix(trim(x), 'import ') OR prefix(trim(x), 'use ') OR prefix(trim(x), 'from ') OR prefix(trim(x), '#include') OR (contains(trim(x), 'require(') AND (prefix(trim(x), 'const ') OR prefix(trim(x), 'let ') OR prefix(trim(x), 'var '))))"
+SQL_TRIM = r"regexp_replace(x, '^\s+|\s+$', '', 'g')"
+SQL_IMPORT = f"(prefix({SQL_TRIM}, 'import ') OR prefix({SQL_TRIM}, 'from ') OR prefix({SQL_TRIM}, '#include') OR (contains(x, 'require(') AND (prefix({SQL_TRIM}, 'const ' || chr(123)) OR (prefix({SQL_TRIM}, 'const ') AND contains(x, chr(125))))))"
 
 
 @query(f"WITH {SQL_FILES} SELECT relative_path, CAST(len(list_filter(string_split(content, chr(10)), lambda x: {SQL_HIT} AND NOT {SQL_IMPORT})) AS BIGINT) AS code_lines, CAST(len(list_filter(string_split(content, chr(10)), lambda x: {SQL_HIT} AND {SQL_IMPORT})) AS BIGINT) AS import_lines FROM files")

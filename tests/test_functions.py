@@ -90,7 +90,7 @@ def test_symbols_and_imports():
         index.symbols_of("x", "zig")
     assert index.imports_of("// import a from 'a'\nimport b from './b'\nconst c = require('c')\n/* import d from 'd' */\n", "js") == ["./b", "c"]
     assert index.imports_of('import (\n  "fmt"\n  x "net/http"\n)\n', "go") == ["fmt", "net/http"]
-    assert index.import_candidates("./b", "web/a.js")[1] == "web/b.js"
+    assert index.import_candidates("./b", "web/a.js")[1:5] == ["web/b.ts", "web/b.tsx", "web/b.js", "web/b.jsx"]
 
 
 def test_imports_of_each_language(spark):
