@@ -6,6 +6,7 @@ FILE_SIM_MIN, FILE_SIM_WEIGHT, PATH_MATCH, CENTRALITY_MAX = 0.35, 1.5, 6.0, 0.5
 DEFINITION_FACTOR, IMPORT_FACTOR, IMPORT_ONLY_FACTOR, CODE_ONLY_FACTOR = 1.5, 0.2, 0.4, 1.3
 RECALL_SEMANTIC, RECALL_KEYWORD, RECALL_RECENCY, RECALL_MIN, RECALL_CANDIDATES = 0.7, 0.2, 0.1, 0.15, 100
 DUPLICATE_COSINE, DUPLICATE_JACCARD = 0.92, 0.7
+MOST_NOTES, NOTE_BYTES = 1000, 50 * 1024
 CONTRADICTION_COSINE, CONTRADICTION_DAYS, CONTRADICTION_DIVERGENCE = 0.85, 7, 0.30
 STOP_WORDS = ["a", "an", "the", "and", "or", "of", "to", "in", "on", "at", "is", "it", "we", "i", "for", "as", "by", "be", "are", "was", "with"]
 DEFINITION_KINDS = ["function", "async function", "class", "method", "struct", "trait", "impl", "enum", "interface", "type"]

@@ -57,7 +57,7 @@ def line_count(text: Column) -> Column:
 
 def truncate_sig(text: Column, n: int) -> Column:
     """At most n bytes in UTF-8 (whole characters), cut before the last ',' or ')' of those, and '...'."""
-    head = F.regexp_replace(F.decode(F.substring(F.encode(text, "UTF-8"), 1, n), "UTF-8"), "\uFFFD+$", "")
+    head = F.regexp_replace(F.make_valid_utf8(F.substring(F.encode(text, "UTF-8"), 1, n).cast("string")), "\uFFFD+$", "")
     cut = F.when(head.rlike("[,)]"), F.regexp_extract(head, r"(?s)^(.*)[,)]", 1)).otherwise(head)
     return F.when(F.octet_length(text) > n, F.concat(cut, F.lit("..."))).otherwise(text)
 

@@ -71,13 +71,13 @@ _SYMBOLS = {
 }
 
 
-def _end(lines: list[str], i: int) -> int:
-    """The line on which the braces opened from line i on are closed, or i."""
+def _end(lines: list[str], i: int, statement: bool = False) -> int:
+    """The line on which the braces opened from line i on are closed, or i. A statement without braces may also end without a semicolon."""
     depth, opened = 0, False
     for j in range(i, len(lines)):
         depth += lines[j].count("{") - lines[j].count("}")
         opened = opened or "{" in lines[j]
-        if opened and depth <= 0 or not opened and lines[j].rstrip().endswith(";"):
+        if opened and depth <= 0 or not opened and (lines[j].rstrip().endswith(";") or statement and re.search(r"[\w\])'\"`]\s*$", lines[j]) and not re.match(r"\s*[.?:|&{]", lines[j + 1] if j + 1 < len(lines) else "")):
             return j
     return len(lines) - 1 if opened else i
 
@@ -137,7 +137,7 @@ def symbols_of(source: str, ext: str) -> list[tuple[str, str, int, int, str]]:
             out += found
         for kind, pattern in _SYMBOLS[family] if i < len(lines) else []:
             if m := re.match(pattern, lines[i]):
-                last = _end(lines, i)
+                last = _end(lines, i, kind in ("const", "export"))
                 out.append((m[1] or _exported("\n".join(lines[i : last + 1])), kind, i + 1, last + 1, lines[i].strip()))
                 i = last
                 break
@@ -165,6 +165,28 @@ def extract_imports(files: DataFrame) -> DataFrame:
     return files.select("relative_path", "extension", "content").mapInPandas(run, "relative_path string, import string")
 
 
+def with_counts(files: DataFrame, edges: DataFrame, target: str = "resolved") -> DataFrame:
+    """files with import_count, rewritten for all: the edges to each, 0 where there are none."""
+    counts = edges.groupBy(F.col(target).alias("relative_path")).agg(F.count("*").alias("import_count"))
+    kept = files.drop("import_count") if "import_count" in files.columns else files
+    return kept.join(counts, "relative_path", "left").withColumn("import_count", F.coalesce("import_count", F.lit(0)).cast("long"))
+
+
+def centrality_of(files: DataFrame) -> DataFrame:
+    """files with import_count, from the extraction of their imports over their resolution to the count of edges."""
+    return with_counts(files, resolve_imports(extract_imports(files), files))
+
+
+def run_statistics(status: DataFrame) -> DataFrame:
+    """One row: how many files of a diff are indexed anew (new or changed), unchanged, and removed."""
+    n = lambda *kinds: F.count(F.when(F.col("status").isin(*kinds), 1))
+    return status.agg(n("new", "changed").alias("indexed"), n("unchanged").alias("unchanged"), n("stale").alias("removed"))
+
+
+def is_indexed(index: DataFrame | None) -> bool:
+    return index is not None and not index.isEmpty()
+
+
 def extension_histogram(files: DataFrame, k: int = 8) -> DataFrame:
     return files.groupBy("extension").agg(F.count("*").alias("files")).orderBy(F.desc("files"), "extension").limit(k)
 

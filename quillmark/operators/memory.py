@@ -105,3 +105,28 @@ def save_outcomes(new: DataFrame, memories: DataFrame, cosine: float = K.DUPLICA
     best = pairs.groupBy("new_id").agg(F.max_by(F.struct("old_id", "old_category", "cosine"), F.struct("cosine", (-F.col("old_id")).alias("first"))).alias("best"))
     out = a.select("new_id", "new_category").join(best, "new_id", "left")
     return out.select("new_id", F.when(F.col("best").isNull(), "inserted").when(F.col("best.old_category") == F.col("new_category"), "merged").otherwise("linked").alias("outcome"), F.col("best.old_id").alias("old_id"))
+
+
+def checked(content: str, category: str, tags: str, held: int) -> None:
+    """Raises where a note is empty, too large or one too many (lengths in bytes)."""
+    if not content:
+        raise ValueError("a note needs content")
+    for name, text, most in (("content", content, K.NOTE_BYTES), ("category", category, 100), ("tags", tags, 500)):
+        if len(text.encode()) > most:
+            raise ValueError(f"{name} has more than {most} bytes")
+    if held >= K.MOST_NOTES:
+        raise ValueError(f"there are {held} notes of at most {K.MOST_NOTES}")
+
+
+def saved(memories: DataFrame, new: DataFrame, now: int, cosine: float = K.DUPLICATE_COSINE, jaccard: float = K.DUPLICATE_JACCARD) -> DataFrame:
+    """memories after saving the new notes: merged ones are appended to (unless their text is there already) and dated, linked ones point to their peer.
+
+    Both: id, content, category, embedding; memories also linked_id and updated_at. New notes that merge into one note
+    are appended in order of id; the notes to merge into are those that were there before."""
+    outcome = save_outcomes(new, memories, cosine, jaccard)
+    merged = new.join(outcome.where("outcome = 'merged'"), new["id"] == F.col("new_id")).select(F.col("old_id").alias("id"), F.struct(F.col("id").alias("at"), F.col("content").alias("more")).alias("part"))
+    parts = merged.groupBy("id").agg(F.sort_array(F.collect_list("part")).alias("parts"))  # few notes are alike enough to merge into one
+    grown = F.aggregate("parts", F.col("content"), lambda s, p: F.when(F.contains(s, p["more"]), s).otherwise(F.concat(s, F.lit("\n— "), p["more"])))
+    old = memories.join(parts, "id", "left").select("id", F.when(F.col("parts").isNull(), F.col("content")).otherwise(grown).alias("content"), "category", "embedding", "linked_id", F.when(F.col("parts").isNull(), F.col("updated_at")).otherwise(F.lit(now)).cast("long").alias("updated_at"))
+    fresh = new.join(outcome.where("outcome <> 'merged'"), new["id"] == F.col("new_id")).select("id", "content", "category", "embedding", F.when(F.col("outcome") == "linked", F.col("old_id")).alias("linked_id"), F.lit(None).cast("long").alias("updated_at"))
+    return old.unionByName(fresh)

@@ -36,6 +36,12 @@ def like_words(symbols: DataFrame, query: str, limit: int = 100) -> DataFrame:
     return hits.withColumn("rank", rank).where(F.col("rank") <= limit)
 
 
+def candidates(symbols: DataFrame, query: str) -> DataFrame:
+    """Symbols that the phrase or a word of the query finds, each once."""
+    ids = phrase_prefix(symbols, query).select("symbol_id").unionByName(like_words(symbols, query).select("symbol_id")).distinct()
+    return symbols.join(ids, "symbol_id", "left_semi")
+
+
 def first_wins(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The first row of each key."""
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")

@@ -109,11 +109,11 @@ def file_tree_dirs(spark, d):
     return index.tree_dirs(S.files(spark, d))
 
 
-@query("SELECT doc_id || '' AS relative_path, CASE WHEN doc_id % 11 = 0 THEN 'new' WHEN doc_id % 7 = 0 THEN 'stale' WHEN doc_id % 5 = 0 THEN 'changed' ELSE 'unchanged' END AS status FROM documents WHERE NOT (doc_id % 11 = 0 AND doc_id % 7 = 0)")
+@query("SELECT doc_id || '' AS relative_path, CASE WHEN doc_id % 11 = 0 THEN 'new' WHEN doc_id % 7 = 0 THEN 'stale' WHEN doc_id % 5 = 0 THEN 'changed' ELSE 'unchanged' END AS status FROM documents")
 def changed_files_diff(spark, d):
-    """The documents as an index that lacks every 11th, against a tree that lacks every 7th and changed every 5th."""
+    """The documents as an index that lacks every 11th, against a tree that lacks every 7th of the others and changed every 5th: each document is on one side at least."""
     x = S.read(spark, d, "documents").select("doc_id", F.col("doc_id").cast("string").alias("relative_path"), F.md5("text").alias("content_hash"))
-    tree = x.where("doc_id % 7 <> 0").withColumn("content_hash", F.when(F.col("doc_id") % 5 == 0, F.concat("content_hash", F.lit("*"))).otherwise(F.col("content_hash")))
+    tree = x.where("doc_id % 7 <> 0 or doc_id % 11 = 0").withColumn("content_hash", F.when(F.col("doc_id") % 5 == 0, F.concat("content_hash", F.lit("*"))).otherwise(F.col("content_hash")))
     return index.diff(x.where("doc_id % 11 <> 0"), tree)
 
 
@@ -202,7 +202,11 @@ def budget_pack_prefix(spark, d):
     return search.pack_prefix(t, "extension", ["doc_id"], "tokens", 20000)
 
 
-@query()
+@query(f"""WITH RECURSIVE {SQL_FILES}, t AS (SELECT doc_id, regexp_extract(relative_path, '^(.*)/', 1) AS folder, CAST({SQL_EST.format(c='content')} AS BIGINT) AS tokens FROM files),
+n AS (SELECT *, row_number() OVER (PARTITION BY folder ORDER BY doc_id) AS place FROM t),
+r AS (SELECT folder, doc_id, place, tokens <= 3000 AS kept, CASE WHEN tokens <= 3000 THEN 3000 - tokens ELSE 3000 END AS rest FROM n WHERE place = 1
+  UNION ALL SELECT n.folder, n.doc_id, n.place, n.tokens <= r.rest, CASE WHEN n.tokens <= r.rest THEN r.rest - n.tokens ELSE r.rest END FROM r JOIN n ON n.folder = r.folder AND n.place = r.place + 1)
+SELECT folder, doc_id FROM r WHERE kept""")
 def budget_pack_greedy(spark, d):
     t = S.files(spark, d).select("doc_id", F.col("relative_path"), T.estimate_tokens(F.col("content")).cast("long").alias("tokens"))
     t = t.withColumn("folder", F.regexp_extract("relative_path", "^(.*)/", 1))
@@ -306,8 +310,10 @@ def memory_recall(spark, d):
 
 
 @query(f"""WITH {SQL_MEMORIES}, w AS (SELECT id, category, embedding::DOUBLE[] AS v, {SQL_TOKENS.format(c='content')} AS w FROM memories),
-p AS (SELECT a.id AS new_id, b.id AS old_id, b.category AS c2, list_cosine_similarity(a.v, b.v) AS s FROM w a JOIN w b ON a.id <> b.id
-  WHERE list_cosine_similarity(a.v, b.v) >= -1 AND CASE WHEN len(a.w) = 0 AND len(b.w) = 0 THEN 1.0 ELSE len(list_intersect(a.w, b.w)) / len(list_distinct(a.w || b.w))::DOUBLE END >= 0.5),
+t AS MATERIALIZED (SELECT id, unnest(w) AS t, len(w) AS n FROM w),
+i AS (SELECT a.id AS new_id, b.id AS old_id FROM t a JOIN t b ON a.t = b.t AND a.id <> b.id AND least(a.n, b.n) >= 0.5 * greatest(a.n, b.n) GROUP BY a.id, b.id, a.n, b.n HAVING count(*) / (a.n + b.n - count(*))::DOUBLE >= 0.5
+  UNION ALL SELECT a.id, b.id FROM w a JOIN w b ON a.id <> b.id WHERE len(a.w) = 0 AND len(b.w) = 0),
+p AS (SELECT new_id, old_id, b.category AS c2, list_cosine_similarity(a.v, b.v) AS s FROM i JOIN w a ON a.id = new_id JOIN w b ON b.id = old_id),
 b AS (SELECT new_id, arg_max(old_id, s) AS old_id, arg_max(c2, s) AS c2 FROM p GROUP BY new_id)
 SELECT w.id AS new_id, CASE WHEN b.new_id IS NULL THEN 'inserted' WHEN c2 = category THEN 'merged' ELSE 'linked' END AS outcome, b.old_id FROM w LEFT JOIN b ON w.id = b.new_id""")
 def memory_save_outcome(spark, d):
@@ -316,9 +322,9 @@ def memory_save_outcome(spark, d):
     return memory.save_outcomes(m, m, cosine=-1.0, jaccard=0.5)
 
 
-@query(f"""WITH {SQL_MEMORIES}, m AS (SELECT id, translate(content, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t, length(content) AS n, embedding::DOUBLE[] AS v, year(created_at) * 365 + month(created_at) * 31 + day(created_at) AS day FROM memories),
+@query(f"""WITH {SQL_MEMORIES}, m AS MATERIALIZED (SELECT id, string_split(translate(content, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS t, length(content) AS n, embedding::DOUBLE[] AS v, year(created_at) * 365 + month(created_at) * 31 + day(created_at) AS day FROM memories),
 p AS (SELECT a.id AS a, b.id AS b, list_cosine_similarity(a.v, b.v) AS cosine, a.t AS ta, b.t AS tb, a.n AS na, b.n AS nb FROM m a JOIN m b ON a.id < b.id WHERE abs(a.day - b.day) >= 7 AND list_cosine_similarity(a.v, b.v) >= 0.35),
-d AS (SELECT a, b, cosine, CASE WHEN greatest(na, nb) = 0 THEN 0 ELSE (len(list_filter(range(1, least(na, nb) + 1), lambda i: ta[i] <> tb[i])) + abs(na - nb)) / greatest(na, nb)::DOUBLE END AS divergence FROM p)
+d AS (SELECT a, b, cosine, CASE WHEN greatest(na, nb) = 0 THEN 0 ELSE (len(list_filter(list_zip(ta[1:least(na, nb)], tb[1:least(na, nb)]), lambda x: x[1] <> x[2])) + abs(na - nb)) / greatest(na, nb)::DOUBLE END AS divergence FROM p)
 SELECT a, b, round(cosine, 6) AS cosine, round(divergence, 6) AS divergence FROM d WHERE divergence >= 0.3""")
 def contradiction_pairs(spark, d):
     return memory.contradictions(S.memories(spark, d), 0.35).select("a", "b", F.round("cosine", 6).alias("cosine"), F.round("divergence", 6).alias("divergence"))
@@ -341,3 +347,6 @@ def stream_tool_windows(spark, d):
     at = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/quillmark"
     out = events.run_to_end(spark, events.tool_windows(calls), name, f"{at.rstrip('/')}/{name}")
     return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+from quillmark.plans import context_catalog  # noqa: E402, F401  registers its queries here
