@@ -72,12 +72,12 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-#: Up to so many rows of one or two numbers are broadcast (32 MB at most); more are joined by a shuffle.
-BROADCAST_ROWS = 2_000_000
+#: Up to so many rows of a few numbers are broadcast (some 100 bytes each as a hash table, so 25 MB); more are joined by a shuffle.
+BROADCAST_ROWS = 250_000
 
 
 def light(rows: DataFrame) -> DataFrame:
-    """rows of one or two numbers, marked for a broadcast if they are few enough; else a join with them shuffles."""
+    """rows of a few numbers, marked for a broadcast if they are few enough; else a join with them shuffles."""
     return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
 

@@ -31,6 +31,8 @@ TOTAL, CAP = 1.5, 2
 SCHEDULES = ((1.5, 0.5), (1.0, 1.0), (0.5, 1.5))
 #: Hex digits of the digest that name a bucket: 4096 buckets a source.
 DIGITS = 3
+#: Words that a task of the mixed documents holds, on average: some 50 MB of text.
+TASK_WORDS = 8_000_000
 
 
 def size(text: Column) -> Column:
@@ -98,9 +100,9 @@ def _few(per: DataFrame, most: int = 50_000) -> bool:
     return per.limit(most + 1).count() <= most
 
 
-def ordered(rows: DataFrame) -> DataFrame:
-    """One row for each copy, range-sorted by position (ties by doc_id)."""
-    return rows.withColumn("position", F.explode("positions")).repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
+def ordered(rows: DataFrame, tasks: int | None = None) -> DataFrame:
+    """One row for each copy, range-sorted by position (ties by doc_id), into that many tasks or as adaptive execution sees fit."""
+    return rows.withColumn("position", F.explode("positions")).repartitionByRange(*([tasks] if tasks else []), "position", "doc_id").sortWithinPartitions("position", "doc_id")
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
@@ -113,10 +115,12 @@ def mix(docs: DataFrame, **options) -> DataFrame:
         flat = ordered(places(docs.select(F.struct("*").alias(keep), "doc_id", "source", size(F.col("text")).alias("size")), **options))
         return flat.select(*(F.col(keep).getField(c).alias(c) for c in docs.columns))
     sizes = materialise(docs.select("doc_id", "source", size(F.col("text")).alias("size")), "sizes")
-    flat = ordered(places(sizes, **options).where("size(positions) > 0").select("doc_id", "positions"))
-    flat = materialise(flat.select(F.col("doc_id").alias(key), F.spark_partition_id().alias(part), F.col("position").alias(at)), "positions")
-    n = flat.agg(F.max(part)).first()[0]
-    dealt = docs.join(light(flat), docs["doc_id"].eqNullSafe(F.col(key))).repartitionById(1 if n is None else n + 1, part)
+    taken = materialise(places(sizes, **options).where("size(positions) > 0").select("doc_id", "positions", "taken"), "taken")
+    # Ranges are as many as the words that they will hold ask for; ids alone would fit into a few.
+    tasks = max(1, -(-(taken.agg(F.sum("taken")).first()[0] or 0) // TASK_WORDS))
+    flat = ordered(taken, tasks).select(F.col("doc_id").alias(key), F.spark_partition_id().alias(part), F.col("position").alias(at))
+    flat = materialise(flat, "positions")
+    dealt = docs.join(light(flat), docs["doc_id"].eqNullSafe(F.col(key))).repartitionById(tasks, part)
     return dealt.sortWithinPartitions(at, "doc_id").select(*docs.columns)
 
 
