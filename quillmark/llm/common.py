@@ -11,7 +11,6 @@ from contextvars import ContextVar
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: A word is a run of anything but the ASCII blanks space, tab, LF, VT, FF, CR. Python's bytes.split() cuts
 #: at exactly these.
@@ -72,15 +71,6 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-#: Up to so many rows of a few numbers are broadcast (some 100 bytes each as a hash table, so 25 MB); more are joined by a shuffle.
-BROADCAST_ROWS = 250_000
-
-
-def light(rows: DataFrame) -> DataFrame:
-    """rows of a few numbers, marked for a broadcast if they are few enough; else a join with them shuffles."""
-    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import WORD, light, materialise, table, unused
+from quillmark.llm.common import WORD, materialise, table, unused
 
 WEIGHTS = (3, 1, 2)
 TOTAL, CAP = 1.5, 2
@@ -108,8 +108,8 @@ def ordered(rows: DataFrame, tasks: int | None = None) -> DataFrame:
 def mix(docs: DataFrame, **options) -> DataFrame:
     """Copies of docs in training order: its columns alone, as often as the mix takes each row.
 
-    Places are computed and range-sorted as ids and sizes; texts then go straight to the task that their position
-    belongs to. Only if rows share a doc_id do they carry their texts through."""
+    Places are computed and range-sorted as ids and sizes; texts move twice then, to their ids and on to the task that
+    their position belongs to, whatever the size. Only if rows share a doc_id do they carry their texts through."""
     keep, key, part, at = unused(docs.columns, "row", "q_key", "q_part", "q_at")
     if docs.groupBy("doc_id").count().where("count > 1").limit(1).count():
         flat = ordered(places(docs.select(F.struct("*").alias(keep), "doc_id", "source", size(F.col("text")).alias("size")), **options))
@@ -120,7 +120,7 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     tasks = max(1, -(-(taken.agg(F.sum("taken")).first()[0] or 0) // TASK_WORDS))
     flat = ordered(taken, tasks).select(F.col("doc_id").alias(key), F.spark_partition_id().alias(part), F.col("position").alias(at))
     flat = materialise(flat, "positions")
-    dealt = docs.join(light(flat), docs["doc_id"].eqNullSafe(F.col(key))).repartitionById(tasks, part)
+    dealt = docs.join(flat, docs["doc_id"].eqNullSafe(F.col(key))).repartitionById(tasks, part)
     return dealt.sortWithinPartitions(at, "doc_id").select(*docs.columns)
 
 

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import light, materialise, table, unused
+from quillmark.llm.common import materialise, table, unused
 
 #: A chunk has LEAST to MOST characters and ends, from LEAST on, behind the first place that CUT describes.
 #: CUT looks at characters only, so that an insertion moves boundaries near it alone.
@@ -81,7 +81,7 @@ def keep_one(docs: DataFrame, make=identifier) -> DataFrame:
     rows = materialise(classes(docs, make).select(F.col("doc_id").alias(num), F.col("text_sha256").alias(sha), "kept"), "classes")
     stay = rows.where("kept").drop("kept")
     if not rows.groupBy(num).count().where("count > 1").limit(1).count():
-        return docs.join(light(stay.select(num)), docs["doc_id"].eqNullSafe(F.col(num)), "left_semi")
+        return docs.join(stay.select(num), docs["doc_id"].eqNullSafe(F.col(num)), "left_semi")
     marked = docs.select("*", F.sha2(normal(F.col("text")), 256).alias(sha + "_"), F.char_length(F.coalesce("text", F.lit(""))).alias(points))
     found = marked.join(stay, marked["doc_id"].eqNullSafe(F.col(num)) & (F.col(sha + "_") == F.col(sha)))
     ranked = found.withColumn(num, F.row_number().over(Window.partitionBy("doc_id", sha).orderBy(F.desc(points))))
