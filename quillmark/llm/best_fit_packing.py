@@ -1,11 +1,12 @@
 """Best-fit packing with swap-based local search.
 
 ``tokenise`` turns each document into ids and one end id and cuts only those longer than a sequence: the first piece
-takes the remainder, so every later one fills a sequence. ``pack`` deals the pieces into groups by a digest of
-(doc_id, piece), balanced whatever the data hold, and packs each group: best-fit decreasing, then a local search that
-empties the bins with least fill by moves, one-for-one and two-for-one exchanges into fuller underfull bins. Each
-step raises the sum of squared fills, so the search ends. A group holds about `group_size` pieces whatever the
-input, and wastes less than a bin against packing all pieces at once.
+takes the remainder, so every later one fills a sequence. Pieces that fill a sequence have one of their own. ``pack``
+deals all others into groups of about `group_size` pieces by a digest of (doc_id, piece), and packs each group by
+itself: best-fit decreasing, then a local search that empties the bins with least fill by moves, exchanges of one or
+two of their documents for one of a fuller underfull bin (all pairs), and of one for two neighbours in size of a bin.
+Each step raises the sum of squared fills, so the search ends; bins that could not be emptied are tried again after
+another was. Packing by groups costs a few sequences a group against packing all pieces at once.
 
 Defined results: null text is an empty one (one piece, the end id alone); repeated rows are packed each, and ties in
 size are taken in order of doc_id and piece; an empty table gives an empty result; extra columns are ignored.
