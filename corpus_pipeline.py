@@ -15,7 +15,7 @@ STAGES = [
     ("best_fit_packing", best_fit_packing.stage),
 ]
 
-#: Learned rules and tokenizer ids are beyond SQL; tests hold each stage against brute force.
+#: Learned rules and tokenizer ids are beyond SQL; tests hold the operators behind the stages against brute force, not the chain as a whole.
 ORACLE_SQL = None
 
 
