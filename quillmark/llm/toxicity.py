@@ -32,6 +32,8 @@ from quillmark.llm.common import small_batches, table
 
 WIDTH, STRIDE = 48, 8
 HIDDEN = 8
+#: Windows that are scored together.
+BLOCK = 2048
 SAMPLE = 1500
 WORD_BITS = GRAM_BITS = 19
 GRAMS = (3, 4, 5)
@@ -169,6 +171,41 @@ class Network:
         pooled = np.einsum("tb,tbh->bh", alpha, s)
         return pooled @ self.w["o"] + self.w["b"][0], (s, k, alpha, pooled, kf, kb) if keep else None
 
+    def logit(self, x: np.ndarray, index: np.ndarray, mask: np.ndarray) -> np.ndarray:
+        """Logit of each window as forward() gives it, for scoring alone: features come first in every array, so that numpy's inner
+        loops run over windows, and BLOCK windows at a time, which bounds their memory."""
+        h, w = HIDDEN, self.w
+        half = np.r_[np.full(2 * h, 0.5), np.ones(h)].astype(np.float32)  # a gate is 0.5 + 0.5 tanh of half its input
+        projected = {d: (x @ w[f"W{d}"] + w[f"c{d}"]) * half for d in "fb"}
+        u = {d: np.ascontiguousarray((w[f"U{d}"] * half).T) for d in "fb"}
+        steps, out = len(index), np.empty(index.shape[1], np.float32)
+        for a in range(0, len(out), BLOCK):
+            at, there = index[:, a : a + BLOCK], mask[:, a : a + BLOCK]
+            whole = there.all(1)
+            states = np.empty((steps, 2 * h, at.shape[1]), np.float32)
+            for d, order, rows in (("f", range(steps), slice(0, h)), ("b", range(steps - 1, -1, -1), slice(h, 2 * h))):
+                s = np.zeros((h, at.shape[1]), np.float32)
+                for t in order:
+                    p, q = np.ascontiguousarray(projected[d].take(at[t], 0).T), u[d] @ s
+                    g, n = p[: 2 * h], q[2 * h :]
+                    g += q[: 2 * h]
+                    np.tanh(g, out=g)
+                    g *= 0.5
+                    g += 0.5
+                    n *= g[h:]
+                    n += p[2 * h :]
+                    np.tanh(n, out=n)
+                    n -= s
+                    n *= 1 - g[:h]
+                    if not whole[t]:
+                        n *= there[t]
+                    s += n
+                    states[t, rows] = s
+            e = np.where(there > 0, w["v"] @ np.tanh(w["A"].T @ states + w["a"][:, None]), np.float32(-1e9))
+            e = np.exp(e - e.max(0))
+            out[a : a + BLOCK] = w["o"] @ np.einsum("tb,thb->hb", e / e.sum(0), states) + w["b"][0]
+        return out
+
     def gradient(self, x: np.ndarray, index: np.ndarray, mask: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, dict]:
         """Weighted mean log loss and its gradient."""
         h, w = HIDDEN, self.w
@@ -249,8 +286,7 @@ class Model:
         top, many = np.full(len(docs), LOW), np.bincount(owner, minlength=len(docs))
         if words:
             x = np.vstack([(statistics or self.statistics).inputs(words), np.zeros((1, INPUTS), np.float32)])
-            for a in range(0, len(owner), 4096):
-                np.maximum.at(top, owner[a : a + 4096], self.network.forward(x, index[:, a : a + 4096], mask[:, a : a + 4096])[0])
+            np.maximum.at(top, owner, self.network.logit(x, index, mask))
         return top, many
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
@@ -288,7 +324,7 @@ def learn(texts: list[str], toxic: np.ndarray, share: float | None = None, epoch
             for x, index, mask, owner, y in parts:
                 if not len(owner):
                     continue
-                score = x[:, :2].max(1)[index].max(0) if epoch == 0 else np.concatenate([network.forward(x, index[:, a : a + 4096], mask[:, a : a + 4096])[0] for a in range(0, len(owner), 4096)])
+                score = x[:, :2].max(1)[index].max(0) if epoch == 0 else network.logit(x, index, mask)
                 order = np.lexsort((score, owner))
                 last = order[np.r_[np.flatnonzero(np.diff(owner[order])), len(order) - 1]]  # the document's most toxic window
                 clean = np.flatnonzero(~y[owner])
@@ -302,8 +338,7 @@ def learn(texts: list[str], toxic: np.ndarray, share: float | None = None, epoch
     top, many = np.empty(len(docs)), np.empty(len(docs))
     for k, (x, index, mask, owner, y) in enumerate(parts):
         t = np.full(len(y), LOW)
-        for a in range(0, len(owner), 4096):
-            np.maximum.at(t, owner[a : a + 4096], network.forward(x, index[:, a : a + 4096], mask[:, a : a + 4096])[0])
+        np.maximum.at(t, owner, network.logit(x, index, mask))
         top[half == k], many[half == k] = t, np.bincount(owner, minlength=len(y))
     model.calibration = _calibrate(top, many, toxic, share)
     return model

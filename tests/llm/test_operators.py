@@ -271,6 +271,18 @@ def test_local_search():
     assert best_fit_packing.pack_sizes(sizes).max() == 1
 
 
+def test_toxicity_logits_of_both_ways(monkeypatch):
+    """logit(), which only scores, and forward(), which trains, agree for any number of windows and any lengths."""
+    rng = np.random.default_rng(4)
+    network = toxicity.Network.new(3)
+    monkeypatch.setattr(toxicity, "BLOCK", 7)
+    for lengths in ([1], [48, 30, 100, 2, 47, 49], [3] * 20):
+        words, index, mask, _ = toxicity.cut([[f"w{rng.integers(0, 40)}" for _ in range(n)] for n in lengths])
+        x = np.vstack([rng.normal(0, 3, (len(words), toxicity.INPUTS)), np.zeros((1, toxicity.INPUTS))]).astype(np.float32)
+        assert np.allclose(network.logit(x, index, mask), network.forward(x, index, mask)[0], atol=1e-5)
+    assert len(network.logit(x, index[:, :0], mask[:, :0])) == 0
+
+
 def test_line_dedup(spark, edge, none):
     assert line_dedup.dedup_lines(none).count() == 0
     clash = edge.withColumn("Q_GONE", edge.doc_id)
