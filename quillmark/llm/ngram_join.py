@@ -11,8 +11,10 @@ most H shingles, so by the pigeonhole principle
 * of m = H // 2 + 1 segments at least one differs in one shingle at most: a set indexes each segment and each of its
   one-deletion neighbours.
 
-``allocate`` picks the cheaper of the two for a band by its rows and the chance matches that it expects. Sets that
-are equal are one class from the start and sent on once a task.
+``allocate`` picks the cheaper of the two for a band by its rows and the chance matches that it expects, from how many
+shingles sets have in common: one in SAMPLE is counted over all sets. Sets that are equal are one class from the start
+and sent on once a task. Where all signatures are more than ROUND_ROWS and PER_SHINGLE times the shingles, they move in
+rounds by ranges of their hash, each of which computes the sets again: the disk that they take stays in proportion.
 
 Linking. Signatures are dealt by hash range to groups of bounded size, and each bucket of classes that share one is
 kept once, by its members, with the number of its segments. Only stars are verified at first: the least class of a
@@ -30,7 +32,8 @@ gives an empty result; extra columns are ignored, and kept by ``one_each``.
 from __future__ import annotations
 
 import hashlib
-from functools import lru_cache
+import math
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -41,10 +44,12 @@ from pyspark.sql import functions as F
 from quillmark.llm.common import materialise, scratch, small_batches, table, unused
 
 WIDTH = 5
-#: Signatures of a group, on average; the number of groups follows the input.
-GROUP_ROWS = 1_000_000
-#: Chance that a shingle of one set lies in another by accident, for the cost model.
-CHANCE = 0.02
+#: Signatures of a group, on average; the number of groups follows the signatures.
+GROUP_ROWS = 625_000
+#: Signatures that move at once: as many for each shingle, or as many in all if that is more.
+PER_SHINGLE, ROUND_ROWS = 0.9, 10_000_000
+#: One in so many shingles, those of least hash, is counted for the cost model.
+SAMPLE = 1024
 #: Members of a bucket's largest part that what is apart from it is held against, before all pairs across parts are.
 HUBS = 6
 #: Levels of f, for a width of one set size, under which differences from a centre are indexed.
@@ -124,32 +129,42 @@ _LEAST = np.array([x for x, _ in bands()])
 
 
 @lru_cache(maxsize=None)
-def allocate(band: int, n_sets: int) -> tuple[int, int, bool]:
-    """(m, k, deletions) for pairs whose larger set is in the band. m = 0: only equal sets link."""
+def allocate(band: int, n_sets: int, common: float) -> tuple[int, int, bool]:
+    """(m, k, deletions) for pairs whose larger set is in the band. m = 0: only equal sets link. common: chance that a
+    shingle of one set is a given one of another."""
     high = bands()[band][1]
     h = 2 * high // 9
     if not h:
         return 0, 0, False
     k = h // 2 + 2
     plain, near = h + 1 + k, h // 2 + 1
-    cost = lambda rows, m: rows * (1 + n_sets * CHANCE ** (high / m))
+    cost = lambda rows, m: rows * (1 + n_sets * min(1, high * common) ** (high / m))
     if h < 3 or cost(high + near, near) < cost(h + 1, plain):
         return near, 0, True
     return plain, k, False
 
 
-def signatures(s: np.ndarray, n_sets: int) -> list[tuple[int, int, np.ndarray]]:
+def bands_of(n: int) -> list[int]:
+    """The bands in which sets of size n are indexed: their own and, if they can link with a set there, the next."""
+    b = int(np.searchsorted(_LEAST, n, "right")) - 1
+    return [b, b + 1] if n and n * 5 // 4 >= bands()[b + 1][0] else [b] if n else []
+
+
+def count_signatures(sizes: dict[int, int], common: float) -> int:
+    """How many signatures all sets have at most. sizes: number of sets of each size."""
+    n_sets, total = sum(sizes.values()), 0
+    for n, many in sizes.items():
+        for m, _, deletions in (allocate(g, n_sets, common) for g in bands_of(n)):
+            total += many * (m + n if deletions else m)
+    return total
+
+
+def signatures(s: np.ndarray, n_sets: int, common: float) -> list[tuple[int, int, np.ndarray]]:
     """(band, room, signatures of 64 bits) of a sorted set, in its own band and, if it can link with a set there, the
     next. room: how many of them, the costliest, the set may leave out."""
-    n = len(s)
-    if n == 0:
-        return []
-    b = int(np.searchsorted(_LEAST, n, "right")) - 1
     out = []
-    for g in (b, b + 1):
-        if g > b and n * 5 // 4 < bands()[g][0]:
-            continue
-        m, k, deletions = allocate(g, n_sets)
+    for g in bands_of(len(s)):
+        m, k, deletions = allocate(g, n_sets, common)
         if not m:
             continue
         segment = ((s >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)  # ranges of the hash, so in order
@@ -177,38 +192,51 @@ def _text(docs: DataFrame) -> DataFrame:
 
 
 def classify(docs: DataFrame, seeds: int = 8) -> tuple[DataFrame, int]:
-    """doc_id, n_shingles and class of every row, and the seed under which each class is one set."""
+    """doc_id, n_shingles, class and sample (one in SAMPLE of the shingles) of every row, and the seed under which each class is one set."""
     kind = docs.schema["doc_id"].dataType.simpleString()
+    below = np.uint64((2**64 - 1) // SAMPLE)
     for seed in range(seeds):
         def run(batches, seed=seed):
             for b in batches:
-                rows = [(len(s), *class_of(s, seed)) for s in _sets(b.column(1))]
-                n, number, digest = zip(*rows) if rows else ((), (), ())
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(number, pa.int64()), pa.array(digest, pa.binary())], names=["doc_id", "n_shingles", "class", "digest"])
+                rows = [(len(s), *class_of(s, seed), s[: np.searchsorted(s, below)].view(np.int64)) for s in _sets(b.column(1))]
+                n, number, digest, some = zip(*rows) if rows else ((), (), (), ())
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(number, pa.int64()), pa.array(digest, pa.binary()), pa.array(some, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "class", "digest", "sample"])
 
-        rows = materialise(_text(docs).mapInArrow(run, f"doc_id {kind}, n_shingles long, class long, digest binary"), "sets")
+        rows = materialise(_text(docs).mapInArrow(run, f"doc_id {kind}, n_shingles long, class long, digest binary, sample array<long>"), "sets")
         if not rows.groupBy("class", "digest").agg(F.lit(1)).groupBy("class").count().where("count > 1").limit(1).count():
             return rows.drop("digest"), seed
     raise RuntimeError("no seed gives one class for each set")
 
 
-def buckets(docs: DataFrame, seed: int, n_sets: int, n_shingles: int) -> DataFrame:
-    """bucket and class for all sets of two and more classes that share a signature which is not left out."""
-    groups = max(1, n_shingles * 6 // 10 // GROUP_ROWS)
+def in_common(rows: DataFrame) -> float:
+    """Chance that a shingle of one set is a given one of another, from the samples of the classes."""
+    each = rows.select("class", F.explode("sample").alias("s")).distinct().groupBy("s").agg(F.count("*").alias("n"))
+    found, others = each.agg(F.sum("n"), F.sum(F.col("n") * (F.col("n") - 1))).first()
+    return others / found / (found * SAMPLE) if found else 0.0
 
-    def flush(held):
-        sizes = [len(x) for _, _, _, x in held]
-        number = np.repeat(np.array([c for c, _, _, _ in held], np.int64), sizes)
-        kind = np.repeat(np.array([(g << 8) | min(r, 255) for _, g, r, _ in held], "<u2"), sizes)
+
+def buckets(docs: DataFrame, seed: int, sizes: dict[int, int], common: float) -> DataFrame:
+    """bucket and class for all sets of two and more classes that share a signature which is not left out."""
+    n_sets, total = sum(sizes.values()), count_signatures(sizes, common)
+    rounds = max(1, math.ceil(total / max(ROUND_ROWS, PER_SHINGLE * sum(n * many for n, many in sizes.items()))))
+    groups = max(rounds, total // GROUP_ROWS)
+
+    def flush(held, first):
+        held = sorted(held, key=lambda x: x[1:3])  # equal kinds in a row take next to no bytes
+        each = [len(x) for _, _, _, x in held]
+        number = np.repeat(np.array([c for c, _, _, _ in held], np.int64), each)
+        kind = np.repeat(np.array([(g << 8) | min(r, 255) for _, g, r, _ in held], "<u2"), each)
         sig = np.concatenate([x for _, _, _, x in held])
-        group = (((sig >> np.uint64(32)) * np.uint64(groups)) >> np.uint64(32)).astype(np.int32)
+        group = (((sig >> np.uint64(32)) * np.uint64(groups)) >> np.uint64(32)).astype(np.int32) - np.int32(first)
         order = np.argsort(group, kind="stable")
         group, low, number, kind = group[order], (sig[order] & np.uint64(0xFFFFFFFF)).astype("<u4"), number[order], kind[order]
         cut = np.r_[np.flatnonzero(np.r_[True, np.diff(group) > 0]), len(group)]
         slices = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(group[cut[:-1]]), slices(low), slices(number), slices(kind)], names=["part", "low", "number", "kind"])
 
-    def emit(batches):
+    def emit(batches, first, end):
+        # Least and greatest upper halves of the signatures of the groups first to end.
+        low, high = (np.uint64(-(-(g << 32) // groups) << 32) if g < groups else None for g in (first, end))
         seen: set[int] = set()
         held, many = [], 0
         for b in batches:
@@ -216,14 +244,16 @@ def buckets(docs: DataFrame, seed: int, n_sets: int, n_shingles: int) -> DataFra
                 c, _ = class_of(s, seed)
                 if len(s) and c not in seen:
                     seen.add(c)
-                    for g, room, x in signatures(s, n_sets):
+                    for g, room, x in signatures(s, n_sets, common):
+                        if rounds > 1:
+                            x = x[(x >= low) & (x < high)] if high is not None else x[x >= low]
                         held.append((c, g, room, x))
                         many += len(x)
-            if many > 1_000_000:
-                yield flush(held)
-                held, many = [], 0
+                if many > 1_000_000:
+                    yield flush(held, first)
+                    held, many = [], 0
         if many:
-            yield flush(held)
+            yield flush(held, first)
 
     def meet(t: pa.Table) -> pa.Table:
         low, number, kind = (np.concatenate([np.frombuffer(x, d) for x in t.column(c).to_pylist()]) for c, d in (("low", "<u4"), ("number", np.int64), ("kind", "<u2")))
@@ -244,10 +274,17 @@ def buckets(docs: DataFrame, seed: int, n_sets: int, n_shingles: int) -> DataFra
         wide = lambda x: np.repeat(x, size).astype(np.int64)
         return pa.table({"bucket": np.repeat(name.view(np.int64), size), "class": number[pick], "band": band[pick].astype(np.int64), "room": (kind[pick] & 255).astype(np.int64), "size": wide(size), "many": wide(many)})
 
-    parts = _text(docs).mapInArrow(emit, "part int, low binary, number binary, kind binary")
-    # One group a task, whatever their number: hashing would deal several to some.
-    found = parts.repartitionById(groups, "part").groupBy("part").applyInArrow(meet, "bucket long, class long, band long, room long, size long, many long")
-    found = found.groupBy("bucket", "class", "band", "room", "size").agg(F.sum("many").alias("many"))
+    def of(first, end):
+        parts = _text(docs).mapInArrow(lambda batches: emit(batches, first, end), "part int, low binary, number binary, kind binary")
+        # One group a task, whatever their number: hashing would deal several to some.
+        found = parts.repartitionById(end - first, "part").groupBy("part").applyInArrow(meet, "bucket long, class long, band long, room long, size long, many long")
+        return found.groupBy("bucket", "class", "band", "room", "size").agg(F.sum("many").alias("many"))
+
+    if rounds == 1:
+        found = of(0, groups)
+    else:
+        found = reduce(DataFrame.union, [materialise(of(groups * r // rounds, groups * (r + 1) // rounds), "round") for r in range(rounds)])
+        found = found.groupBy("bucket", "class", "band", "room", "size").agg(F.sum("many").alias("many"))
     costliest = Window.partitionBy("class", "band").orderBy(F.desc("size"), "bucket")
     kept = found.withColumn("so_far", F.sum("many").over(costliest.rowsBetween(Window.unboundedPreceding, 0))).where("so_far > room")
     return materialise(kept.select("bucket", "class"), "buckets")
@@ -427,8 +464,9 @@ def link(docs: DataFrame) -> DataFrame:
 def _link(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
     rows, seed = classify(docs)
-    totals = rows.agg(F.count("*"), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
-    found = buckets(docs, seed, totals[0], totals[1])
+    common, rows = in_common(rows), rows.drop("sample")
+    sizes = {n: many for n, many in rows.select("class", "n_shingles").distinct().groupBy("n_shingles").count().collect()}
+    found = buckets(docs, seed, sizes, common)
     sets = sets_of(docs, rows, found, seed)
     hubs = found.groupBy("bucket").agg(F.min("class").alias("a"))
     stars = found.withColumnRenamed("class", "b").join(hubs, "bucket").where("a <> b").select("a", "b").distinct()

@@ -87,3 +87,42 @@ def test_a_cluster_without_a_shared_folder_raises():
     assert common._own_dir("local[8]", "test").startswith("file:///")
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         common._own_dir("spark://host:7077", "test")
+
+
+def test_signatures_of_many_sets_stay_below_the_shingles():
+    """Three million sets of prose, of which two hold a given shingle of one by accident: the shorter index has to be chosen."""
+    sizes = {n: 10_000 for n in range(200, 500)}
+    shingles = sum(n * many for n, many in sizes.items())
+    assert ngram_join.count_signatures(sizes, 2 / shingles) <= ngram_join.PER_SHINGLE * shingles
+    assert ngram_join.count_signatures(sizes, 0.02 / 350) > ngram_join.PER_SHINGLE * shingles  # where sets have much in common
+
+
+def test_rounds_of_signatures(spark, monkeypatch):
+    """What moves at once is bounded, and the rounds together find all links."""
+    rows = near_copies(150, 40) + [(1000 + i, t) for i, (_, t) in enumerate(near_copies(150, 70, 4))] + [(5000, None), (5001, "a b c")]
+    moved, plain = [], ngram_join.materialise
+
+    def counted(df, tag, **more):
+        moved.append(tag)
+        return plain(df, tag, **more)
+
+    monkeypatch.setattr(ngram_join, "materialise", counted)
+    monkeypatch.setattr(ngram_join, "ROUND_ROWS", 1000)
+    monkeypatch.setattr(ngram_join, "PER_SHINGLE", 0.1)
+    monkeypatch.setattr(ngram_join, "GROUP_ROWS", 500)
+    monkeypatch.setattr(ngram_join, "in_common", lambda rows: 0.05)
+    got = ngram_join.link(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert moved.count("round") > 5
+    assert sorted(map(tuple, got)) == links_by_brute_force(rows)
+
+
+def test_chance_is_that_of_the_sets(spark):
+    rnd = random.Random(5)
+    rows = [(i, " ".join(f"w{rnd.randrange(2)}" for _ in range(60))) for i in range(300)]
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(ngram_join, "SAMPLE", 1)
+        classes, _ = ngram_join.classify(spark.createDataFrame(rows, SCHEMA))
+        got = ngram_join.in_common(classes)
+    sets = {frozenset(zip(*(t.split()[k:] for k in range(5)))) for _, t in rows}  # equal sets are one class
+    wanted = sum(len(a & b) for a in sets for b in sets if a is not b) / sum(map(len, sets)) ** 2
+    assert got == pytest.approx(wanted, rel=1e-6)
