@@ -126,3 +126,14 @@ def test_chance_is_that_of_the_sets(spark):
     sets = {frozenset(zip(*(t.split()[k:] for k in range(5)))) for _, t in rows}  # equal sets are one class
     wanted = sum(len(a & b) for a in sets for b in sets if a is not b) / sum(map(len, sets)) ** 2
     assert got == pytest.approx(wanted, rel=1e-6)
+
+
+def test_stage_of_the_pipeline_in_rounds(spark, monkeypatch):
+    """The third stage keeps one document of each component when its signatures move in rounds."""
+    rows = near_copies(80, 40)
+    tags, plain = [], ngram_join.materialise
+    monkeypatch.setattr(ngram_join, "materialise", lambda df, tag, **more: tags.append(tag) or plain(df, tag, **more))
+    monkeypatch.setattr(ngram_join, "ROUND_ROWS", 1000)
+    kept = ngram_join.stage(spark, spark.createDataFrame(rows, SCHEMA), "").collect()
+    assert tags.count("round") > 1
+    assert sorted(r["doc_id"] for r in kept) == sorted({c for _, _, c in links_by_brute_force(rows)})
