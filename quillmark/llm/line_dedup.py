@@ -4,7 +4,7 @@ A rolling hash over the hashes of a line and the one before it decides whether a
 boundaries depend on two lines alone and move with inserted or deleted lines. Of every chunk of two or more lines
 that are not blank, the first place in the corpus (by doc_id, then place in the document) stays and all others go.
 Chunks are grouped by a 128-bit identifier that is first verified by comparing the chunks' bytes over the whole
-corpus (see exact_dedup); no chunk text moves after that.
+corpus (see exact_dedup); no chunk text moves after that. Texts are cut once for this, and those that lose chunks again.
 
 A short passage is only caught so if two boundaries fall inside it. ``dedup_runs`` leaves no run out: of every two
 lines that are not blank and have at most blank lines between them, if the same two lines stand in that order at an
@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import materialise, table, unused
+from quillmark.llm.common import materialise, scratch, table, unused
 from quillmark.llm.exact_dedup import identifier, verified_seed
 
 #: A chunk ends where the rolling hash starts with a hex digit below this: every fourth line on average.
@@ -57,9 +57,11 @@ def is_multi_line(chunk: Column) -> Column:
 def repeated(docs: DataFrame) -> DataFrame:
     """doc_id and `gone`, the places (from 0) of the chunks that an earlier place in the corpus has too."""
     pieces = docs.where(F.col("text").isNotNull()).select("doc_id", F.posexplode(line_chunks(F.col("text"))).alias("place", "chunk"))
-    pieces = pieces.where(is_multi_line(F.col("chunk")))
-    seed = verified_seed(pieces, "chunk")
-    places = materialise(pieces.select("doc_id", "place", identifier(F.col("chunk"), seed).alias("id")), "line-chunks")
+    # Cutting costs most by far, so the chunks are written once; verifying and naming them read that copy.
+    with scratch(docs.sparkSession):
+        pieces = materialise(pieces.where(is_multi_line(F.col("chunk"))), "line-pieces")
+        seed = verified_seed(pieces, "chunk")
+        places = materialise(pieces.select("doc_id", "place", identifier(F.col("chunk"), seed).alias("id")), "line-chunks", keep=True)
     many = places.groupBy("id").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("id").alias("id2"), "first")
     gone = places.join(many, places["id"] == F.col("id2")).where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("place") == F.col("first.place"))))
     return gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("place")).alias("gone"))
