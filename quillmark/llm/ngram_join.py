@@ -18,7 +18,8 @@ rounds by ranges of their hash, each of which computes the sets again: the disk
 
 Linking. Signatures are dealt by hash range to groups of bounded size, and each bucket of classes that share one is
 kept once, by its members, with the number of its segments. Only stars are verified at first: the least class of a
-bucket against the others; then what is still apart against HUBS members of the bucket's largest part. Classes that
+bucket against the others; then what is still apart against HUBS members of the bucket's largest part. Pairs take
+whole sets along and so move in rounds too, of bounded bytes. Classes that
 are linked count as one from there on, and only pairs across unlinked parts of a bucket are left; they are verified
 all, so no link between parts is lost and the pairs within a large group of copies never arise. Verification
 intersects whole shingle sets.
@@ -48,6 +49,8 @@ WIDTH = 5
 GROUP_ROWS = 625_000
 #: Signatures that move at once: as many for each shingle, or as many in all if that is more.
 PER_SHINGLE, ROUND_ROWS = 0.9, 10_000_000
+#: Bytes of sets that pairs take along at once: a part of the bytes of all sets in question, or so many if that is more.
+VERIFY_PART, VERIFY_BYTES = 0.5, 256 << 20
 #: One in so many shingles, those of least hash, is counted for the cost model.
 SAMPLE = 1024
 #: Members of a bucket's largest part that what is apart from it is held against, before all pairs across parts are.
@@ -280,14 +283,14 @@ def buckets(docs: DataFrame, seed: int, sizes: dict[int, int], common: float) ->
         found = parts.repartitionById(end - first, "part").groupBy("part").applyInArrow(meet, "bucket long, class long, band long, room long, size long, many long")
         return found.groupBy("bucket", "class", "band", "room", "size").agg(F.sum("many").alias("many"))
 
-    if rounds == 1:
-        found = of(0, groups)
-    else:
+    with scratch(docs.sparkSession):
+        # Written before the next shuffle, so that the files of the signatures are gone by then.
         found = reduce(DataFrame.union, [materialise(of(groups * r // rounds, groups * (r + 1) // rounds), "round") for r in range(rounds)])
-        found = found.groupBy("bucket", "class", "band", "room", "size").agg(F.sum("many").alias("many"))
-    costliest = Window.partitionBy("class", "band").orderBy(F.desc("size"), "bucket")
-    kept = found.withColumn("so_far", F.sum("many").over(costliest.rowsBetween(Window.unboundedPreceding, 0))).where("so_far > room")
-    return materialise(kept.select("bucket", "class"), "buckets")
+        if rounds > 1:
+            found = found.groupBy("bucket", "class", "band", "room", "size").agg(F.sum("many").alias("many"))
+        costliest = Window.partitionBy("class", "band").orderBy(F.desc("size"), "bucket")
+        kept = found.withColumn("so_far", F.sum("many").over(costliest.rowsBetween(Window.unboundedPreceding, 0))).where("so_far > room")
+        return materialise(kept.select("bucket", "class"), "buckets", keep=True)
 
 
 def sets_of(docs: DataFrame, rows: DataFrame, wanted: DataFrame, seed: int) -> DataFrame:
@@ -309,8 +312,28 @@ def sets_of(docs: DataFrame, rows: DataFrame, wanted: DataFrame, seed: int) -> D
 
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets have 100 * intersection >= 80 * union."""
-    left, right = sets.select(F.col("class").alias("a"), F.col("set").alias("set_a")), sets.select(F.col("class").alias("b"), F.col("set").alias("set_b"))
+    """The pairs (a, b) whose sets have 100 * intersection >= 80 * union.
+
+    A pair takes a whole set along, so pairs move in rounds by hashes of b. Each round moves some VERIFY_BYTES of sets
+    or, if that is more, a VERIFY_PART of what `sets` takes; of the sets only those that its pairs name.
+    """
+    pairs = materialise(pairs, "pairs")
+    mean, held = sets.agg(F.avg(F.length("set")), F.sum(F.length("set"))).first()
+    moved = 2 * pairs.count() * (mean or 0)
+    rounds = max(1, math.ceil(moved / max(VERIFY_BYTES, VERIFY_PART * (held or 0))))
+    if rounds == 1:
+        return _verify(pairs, sets, sets)
+    turn = lambda c, r: F.pmod(F.xxhash64(c), F.lit(rounds)) == r
+    out = []
+    for r in range(rounds):
+        some = pairs.where(turn("b", r))
+        first = some.select(F.col("a").alias("class")).distinct()
+        out.append(materialise(_verify(some, sets.join(_light(first), "class", "left_semi"), sets.where(turn("class", r))), "verified"))
+    return reduce(DataFrame.union, out)
+
+
+def _verify(pairs: DataFrame, sets_a: DataFrame, sets_b: DataFrame) -> DataFrame:
+    left, right = sets_a.select(F.col("class").alias("a"), F.col("set").alias("set_a")), sets_b.select(F.col("class").alias("b"), F.col("set").alias("set_b"))
 
     def run(batches):
         for b in batches:

@@ -116,6 +116,28 @@ def test_rounds_of_signatures(spark, monkeypatch):
     assert sorted(map(tuple, got)) == links_by_brute_force(rows)
 
 
+def test_rounds_of_pairs(spark, monkeypatch):
+    """The sets that pairs take along at once are bounded, and the rounds together verify each pair once."""
+    rows = near_copies(50, 40) + [(1000 + i, t) for i, (_, t) in enumerate(near_copies(50, 70, 4))] + [(5000, None), (5001, "a b c")]
+    moved, given, plain, whole = [], [], ngram_join.materialise, ngram_join._verify
+
+    def counted(df, tag, **more):
+        moved.append(tag)
+        return plain(df, tag, **more)
+
+    def bounded(pairs, sets_a, sets_b):
+        given.append((pairs.count(), sets_a.count(), sets_b.count()))
+        return whole(pairs, sets_a, sets_b)
+
+    monkeypatch.setattr(ngram_join, "materialise", counted)
+    monkeypatch.setattr(ngram_join, "_verify", bounded)
+    monkeypatch.setattr(ngram_join, "VERIFY_BYTES", 100_000)
+    got = ngram_join.link(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert moved.count("verified") > 2
+    assert max(n for n, _, _ in given) * 2 * 8 * 60 < 3 * 100_000 and all(b < 100 for n, _, b in given if 2 * n * 8 * 60 > 100_000)
+    assert sorted(map(tuple, got)) == links_by_brute_force(rows)
+
+
 def test_chance_is_that_of_the_sets(spark):
     rnd = random.Random(5)
     rows = [(i, " ".join(f"w{rnd.randrange(2)}" for _ in range(60))) for i in range(300)]
