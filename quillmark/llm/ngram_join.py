@@ -18,8 +18,9 @@ rounds by ranges of their hash, each of which computes the sets again: the disk
 
 Linking. Signatures are dealt by hash range to groups of bounded size, and each bucket of classes that share one is
 kept once, by its members, with the number of its segments. Only stars are verified at first: the least class of a
-bucket against the others; then what is still apart against HUBS members of the bucket's largest part. Pairs take
-whole sets along and so move in rounds too, of bounded bytes. Classes that
+bucket against the others; then what is still apart against HUBS members of the bucket's largest part. Most pairs share
+a signature by a passage only: sketches of a 32nd to a 64th of a set show that they differ in too much, and only the
+other pairs take whole sets along. Both move in rounds of bounded bytes. Classes that
 are linked count as one from there on, and only pairs across unlinked parts of a bucket are left; they are verified
 all, so no link between parts is lost and the pairs within a large group of copies never arise. Verification
 intersects whole shingle sets.
@@ -186,6 +187,27 @@ def signatures(s: np.ndarray, n_sets: int, common: float) -> list[tuple[int, int
     return out
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """The parities of how many shingles of a set have each value of their low bits: as many bits as the next power of two holds.
+
+    A shingle that only one of two sets has changes one parity, so parities that differ are at most as many as such
+    shingles. With the upper half xored onto the lower it is the sketch of half the bits.
+    """
+    bits = max(64, 1 << (len(s) - 1).bit_length())
+    return np.packbits(np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1, bitorder="little").tobytes()
+
+
+def too_far(x: bytes, y: bytes, size: int) -> bool:
+    """Whether sketches show that two sets of so many shingles in all differ in more than a ninth of that, so cannot link."""
+    short, long = sorted((x, y), key=len)
+    low, high = int.from_bytes(short, "little"), int.from_bytes(long, "little")
+    bits = 8 * len(long)
+    while bits > 8 * len(short):
+        bits //= 2
+        high = (high >> bits) ^ (high & ((1 << bits) - 1))
+    return 9 * (low ^ high).bit_count() > size
+
+
 def _sets(batch_column) -> list[np.ndarray]:
     return shingle_sets(batch_column.to_pylist())
 
@@ -294,7 +316,7 @@ def buckets(docs: DataFrame, seed: int, sizes: dict[int, int], common: float) ->
 
 
 def sets_of(docs: DataFrame, rows: DataFrame, wanted: DataFrame, seed: int) -> DataFrame:
-    """class and set (sorted hashes) of the wanted classes, from one document of each."""
+    """class, set (sorted hashes), its sketch and its size n of the wanted classes, from one document of each."""
     first = rows.groupBy("class").agg(F.min("doc_id").alias("d2"))
     first = materialise(first.join(wanted.select("class").distinct(), "class").withColumnRenamed("class", "c2"), "wanted")
     few = first.count() <= BROADCAST_ROWS
@@ -302,10 +324,11 @@ def sets_of(docs: DataFrame, rows: DataFrame, wanted: DataFrame, seed: int) -> D
 
     def run(batches):
         for b in batches:
-            out = [(c, s.tobytes()) for s, c in zip(_sets(b.column(0)), b.column(1).to_pylist()) if class_of(s, seed)[0] == c]
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.binary())], names=["class", "set"])
+            out = [(c, s.tobytes(), sketch(s), len(s)) for s, c in zip(_sets(b.column(0)), b.column(1).to_pylist()) if class_of(s, seed)[0] == c]
+            number, held, short, n = zip(*out) if out else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(number, pa.int64()), pa.array(held, pa.binary()), pa.array(short, pa.binary()), pa.array(n, pa.int64())], names=["class", "set", "sketch", "n"])
 
-    sets = found.mapInArrow(run, "class long, set binary")
+    sets = found.mapInArrow(run, "class long, set binary, sketch binary, n long")
     if rows.groupBy("doc_id").count().where("count > 1").limit(1).count():
         sets = sets.dropDuplicates(["class"])  # rows that share a doc_id can show a class twice
     return materialise(sets, "class-sets")
@@ -314,22 +337,40 @@ def sets_of(docs: DataFrame, rows: DataFrame, wanted: DataFrame, seed: int) -> D
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets have 100 * intersection >= 80 * union.
 
-    A pair takes a whole set along, so pairs move in rounds by hashes of b. Each round moves some VERIFY_BYTES of sets
-    or, if that is more, a VERIFY_PART of what `sets` takes; of the sets only those that its pairs name.
+    A pair may take a whole set along, so pairs move in rounds by hashes of b. Each round moves some VERIFY_BYTES of sets
+    or, if that is more, a VERIFY_PART of what `sets` takes, even if no sketch drops a pair.
     """
     pairs = materialise(pairs, "pairs")
-    mean, held = sets.agg(F.avg(F.length("set")), F.sum(F.length("set"))).first()
+    mean, held = sets.agg(F.avg(8 * F.col("n")), F.sum(8 * F.col("n"))).first()
     moved = 2 * pairs.count() * (mean or 0)
     rounds = max(1, math.ceil(moved / max(VERIFY_BYTES, VERIFY_PART * (held or 0))))
     if rounds == 1:
-        return _verify(pairs, sets, sets)
-    turn = lambda c, r: F.pmod(F.xxhash64(c), F.lit(rounds)) == r
-    out = []
-    for r in range(rounds):
-        some = pairs.where(turn("b", r))
-        first = some.select(F.col("a").alias("class")).distinct()
-        out.append(materialise(_verify(some, sets.join(_light(first), "class", "left_semi"), sets.where(turn("class", r))), "verified"))
-    return reduce(DataFrame.union, out)
+        return _sketched(pairs, sets)
+    turn = lambda r: F.pmod(F.xxhash64("b"), F.lit(rounds)) == r
+    return reduce(DataFrame.union, [materialise(_sketched(pairs.where(turn(r)), sets), "verified") for r in range(rounds)])
+
+
+def _sketched(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs that link; those that sketches show to be too far apart take no sets along."""
+    near = materialise(_near(pairs, sets.select("class", "sketch", "n")), "near")
+    sets_a, sets_b = (_of(sets.select("class", "set"), near.select(F.col(c).alias("class"))) for c in ("a", "b"))
+    return _verify(near, sets_a, sets_b)
+
+
+def _of(sets: DataFrame, classes: DataFrame) -> DataFrame:
+    """The sets of some classes: the others are left out before they move."""
+    return sets.join(_light(classes.select("class").distinct()), "class", "left_semi")
+
+
+def _near(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    left, right = (sketches.select(F.col("class").alias(c), F.col("sketch").alias(f"sketch_{c}"), F.col("n").alias(f"n_{c}")) for c in ("a", "b"))
+
+    def run(batches):
+        for b in batches:
+            keep = [not too_far(x, y, n) for x, y, n in zip(*(b.column(i).to_pylist() for i in (2, 3, 4)))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "sketch_a", "sketch_b", F.col("n_a") + F.col("n_b")).mapInArrow(run, "a long, b long")
 
 
 def _verify(pairs: DataFrame, sets_a: DataFrame, sets_b: DataFrame) -> DataFrame:
@@ -418,7 +459,9 @@ def by_centre(named: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     main = materialise(_main(named), "parts")
     members = named.join(main.select("bucket", F.col("main.root").alias("centre_of")), "bucket").select("centre_of", "class", "root").distinct()
     hubs = main.groupBy(F.col("main.root").alias("centre_of")).agg(F.max_by("main.hubs", F.struct("members", "bucket")).alias("hubs"))
-    hubs = hubs.select("centre_of", F.explode(F.array_distinct("hubs")).alias("class")).join(sets, "class")
+    hubs = hubs.select("centre_of", F.explode(F.array_distinct("hubs")).alias("class"))
+    sets = sets.select("class", "set")
+    hubs = hubs.join(_of(sets, hubs), "class")
 
     def centre(batches):
         for b in batches:
@@ -462,7 +505,7 @@ def by_centre(named: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     centres = materialise(hubs.groupBy("centre_of").agg(F.collect_list("set")).mapInArrow(centre, "centre_of long, centre binary, width long"), "centres")
     small = centres.agg(F.coalesce(F.sum(F.length("centre") + 24), F.lit(0))).first()[0] <= 16 * BROADCAST_ROWS
-    known = members.join(sets, "class").join(F.broadcast(centres) if small else centres, "centre_of")
+    known = members.join(_of(sets, named), "class").join(F.broadcast(centres) if small else centres, "centre_of")
     deltas = materialise(known.select("centre_of", "class", "root", "set", "centre", "width").mapInArrow(differ, "centre_of long, class long, root long, f long, level long, d array<long>"), "deltas")
     levels = deltas.groupBy("centre_of", "level").agg(F.min("f").alias("low"), F.max("f").alias("high"), F.max(F.size("d")).alias("longest"), F.min_by("class", F.struct("f", "class")).alias("a"))
     levels = levels.groupBy("centre_of").agg(F.min("low").alias("least"), F.min_by("a", F.struct("low", "a")).alias("a"), F.collect_list(F.struct("level", "low", "high", "longest")).alias("levels"))

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from quillmark.llm import common, ngram_join
@@ -159,3 +160,41 @@ def test_stage_of_the_pipeline_in_rounds(spark, monkeypatch):
     kept = ngram_join.stage(spark, spark.createDataFrame(rows, SCHEMA), "").collect()
     assert tags.count("round") > 1
     assert sorted(r["doc_id"] for r in kept) == sorted({c for _, _, c in links_by_brute_force(rows)})
+
+
+def test_sketches_lose_no_link():
+    rnd = np.random.default_rng(4)
+    dropped = 0
+    for n in (1, 2, 7, 63, 64, 65, 120, 500, 1030, 4097):
+        for part in (0, 0.02, 0.1, 0.11, 0.12, 0.2, 0.25, 0.6):
+            x = np.unique(rnd.integers(0, 2**64, n, np.uint64))
+            own = rnd.integers(0, 2**64, int(n * part * rnd.uniform(0.5, 1.5)), np.uint64)
+            y = np.unique(np.r_[x[int(n * part) :], own])
+            same = len(np.intersect1d(x, y))
+            if not len(y):
+                continue
+            far = [ngram_join.too_far(a, b, len(x) + len(y)) for a, b in ((ngram_join.sketch(x), ngram_join.sketch(y)), (ngram_join.sketch(y), ngram_join.sketch(x)))]
+            assert far[0] == far[1]
+            assert not far[0] or 100 * same < 80 * (len(x) + len(y) - same)
+            dropped += far[0] and part == 0.6
+    assert dropped >= 7  # of ten
+
+
+def test_a_shared_passage_moves_no_sets(spark, pairs_given, monkeypatch):
+    """Texts that only share a passage are told apart by their sketches."""
+    rnd = random.Random(6)
+    passage = [f"p{k}" for k in range(50)]
+    rows = [(i, " ".join([f"w{rnd.randint(0, 10**6)}" for _ in range(40)] + passage)) for i in range(100)]
+    rows += [(100 + i, rows[i][1] + " end") for i in range(5)]
+    given, whole = [], ngram_join._verify
+
+    def counted(pairs, sets_a, sets_b):
+        given.append((pairs.count(), sets_a.count()))
+        return whole(pairs, sets_a, sets_b)
+
+    monkeypatch.setattr(ngram_join, "_verify", counted)
+    got = ngram_join.link(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted(map(tuple, got)) == links_by_brute_force(rows)
+    assert sum(pairs_given) > 100
+    assert sum(n for n, _ in given) <= 0.2 * sum(pairs_given)
+    assert all(n <= 2 * pairs for pairs, n in given)
