@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmark import constants as K
 from quillmark.functions import text as T
 from quillmark.functions import vector as V
+from quillmark.operators import tiles
 
 
 def access_recency(last: Column, now: Column) -> Column:
@@ -89,21 +92,35 @@ def contradiction_review(memories: DataFrame, limit: int, least: float = K.CONTR
 def save_outcomes(new: DataFrame, memories: DataFrame, cosine: float = K.DUPLICATE_COSINE, jaccard: float = K.DUPLICATE_JACCARD) -> DataFrame:
     """Outcome for each new note: merged into, or linked to, its most alike note that passes both gates, else inserted.
 
-    new and memories: id, content, category, embedding. Words meet by an equality join on a shared word, so only
-    notes with words in common are compared."""
-    words = lambda d: d.withColumn("w", T.token_set(F.col("content")))
-    a = words(new).select(F.col("id").alias("new_id"), F.col("category").alias("new_category"), F.col("embedding").alias("va"), F.col("w").alias("wa"))
-    b = words(memories).select(F.col("id").alias("old_id"), F.col("category").alias("old_category"), F.col("embedding").alias("vb"), F.col("w").alias("wb"))
-    # Two sets with Jaccard of at least j share a word among the first |w| - ceil(j |w|) + 1 in any common order; long words, being rare, come first.
-    order = lambda w: F.transform(F.array_sort(F.transform(w, lambda x: F.struct((-F.length(x)).alias("n"), x.alias("x")))), lambda s: s["x"])
-    prefix = lambda w: F.explode(F.when(F.size(w) == 0, F.array(F.lit(""))).otherwise(F.slice(order(w), 1, F.size(w) - F.ceil(F.lit(jaccard) * F.size(w)).cast("int") + 1)))
-    left = a.select("new_id", F.size("wa").alias("na"), prefix(F.col("wa")).alias("p"))
-    right = b.select("old_id", F.size("wb").alias("nb"), prefix(F.col("wb")).alias("p"))
-    hits = left.join(right, "p").where((F.col("new_id") != F.col("old_id")) & (F.least("na", "nb") >= F.lit(jaccard) * F.greatest("na", "nb"))).select("new_id", "old_id").distinct()
-    pairs = hits.join(a, "new_id").join(b, "old_id")
-    pairs = pairs.where(T.jaccard(F.col("wa"), F.col("wb")) >= jaccard).withColumn("cosine", V.cosine(F.col("va"), F.col("vb"))).where(F.col("cosine") >= cosine)
-    best = pairs.groupBy("new_id").agg(F.max_by(F.struct("old_id", "old_category", "cosine"), F.struct("cosine", (-F.col("old_id")).alias("first"))).alias("best"))
-    out = a.select("new_id", "new_category").join(best, "new_id", "left")
+    new and memories: id, content, category, embedding. Word sets (as 64-bit hashes of the words) meet in blocks of like
+    size, and each block yields the best note for each new one, so no list of pairs is moved. new is memories if each
+    note is held against the others."""
+    if jaccard <= 0:
+        raise ValueError("jaccard is above 0")
+    words = lambda d, is_new, is_old: d.select("id", "category", "embedding", F.array_sort(F.array_distinct(F.transform(T.token_set(F.col("content")), lambda x: F.xxhash64(x)))).alias("w"), F.lit(is_new).alias("is_new"), F.lit(is_old).alias("is_old"))
+    notes = tiles.written(words(new, True, True) if new is memories else words(new, True, False).unionByName(words(memories, False, True)), "notes")
+    weight = F.size("w") * 8 + F.size("embedding") * 4 + 64
+    dealt = tiles.dealt(notes.where("w is not null and embedding is not null"), F.size("w"), weight, jaccard)
+
+    def meet(t: pa.Table) -> pa.Table:
+        i, j = t["i"][0].as_py(), t["j"][0].as_py()
+        order = np.lexsort((pc.list_value_length(t["w"]).to_numpy(), t["is_old"].to_numpy(), t["own"].to_numpy() != i))
+        t = t.take(order)
+        n, ids, is_new, is_old = int((t["own"].to_numpy() == i).sum()), t["id"].to_numpy(), t["is_new"].to_numpy(), t["is_old"].to_numpy()
+        left, right = range(n), range(n) if i == j else range(n, len(ids))
+        wanted = lambda x, y: is_new[x].any() and is_old[y].any() or is_old[x].any() and is_new[y].any()
+        r, c = tiles.Sets(t["w"]).pairs(left, right, jaccard, wanted)
+        s = tiles.Vectors(t["embedding"]).cosine(r, c)
+        a, b, s = np.concatenate((r, c)), np.concatenate((c, r)), np.concatenate((s, s))
+        keep = (s >= cosine) & is_new[a] & is_old[b] & (ids[a] != ids[b])
+        a, b, s = a[keep], b[keep], s[keep]
+        best = np.lexsort((ids[b], -s, a))
+        best = best[np.diff(a[best], prepend=-1) != 0]
+        return pa.table({"new_id": ids[a[best]], "old_id": ids[b[best]], "old_category": t["category"].take(b[best]), "cosine": s[best]})
+
+    found = dealt.groupBy("i", "j").applyInArrow(meet, "new_id long, old_id long, old_category string, cosine double")
+    best = found.groupBy("new_id").agg(F.max_by(F.struct("old_id", "old_category", "cosine"), F.struct("cosine", (-F.col("old_id")).alias("first"))).alias("best"))
+    out = notes.where("is_new").select(F.col("id").alias("new_id"), F.col("category").alias("new_category")).join(best, "new_id", "left")
     return out.select("new_id", F.when(F.col("best").isNull(), "inserted").when(F.col("best.old_category") == F.col("new_category"), "merged").otherwise("linked").alias("outcome"), F.col("best.old_id").alias("old_id"))
 
 
