@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -14,6 +16,9 @@ from quillmark.functions import text as T
 from quillmark.functions import vector as V
 from quillmark.operators import tiles
 
+#: Bytes of the texts and vectors that two blocks of contradictions() have each.
+TEXT_BLOCK_BYTES = 48 << 20
+
 
 def access_recency(last: Column, now: Column) -> Column:
     """1 / (1 + days / 30) from epoch seconds; 0 if never, and no time before now is negative."""
@@ -72,12 +77,64 @@ def pairs_by_cosine(rows: DataFrame, least: float, id_col: str = "id", vec_col:
     return dealt.groupBy("i", "j").applyInPandas(meet, "a long, b long, cosine double")
 
 
-def contradictions(memories: DataFrame, least: float = K.CONTRADICTION_COSINE, days: int = K.CONTRADICTION_DAYS, divergence: float = K.CONTRADICTION_DIVERGENCE) -> DataFrame:
-    """Pairs of like notes, some days apart, whose texts differ."""
-    pairs = pairs_by_cosine(memories, least)
-    side = lambda s: memories.select(F.col("id").alias(s), F.col("content").alias(f"{s}_text"), T.pseudo_days(F.col("created_at")).alias(f"{s}_day"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").where(F.abs(F.col("a_day") - F.col("b_day")) >= days)
-    return both.withColumn("divergence", T.divergence(F.col("a_text"), F.col("b_text"))).where(F.col("divergence") >= divergence).select("a", "b", "cosine", "divergence")
+class _Texts:
+    """Texts as arrays of characters without ASCII case, each as narrow as it can be."""
+
+    def __init__(self, column: pa.ChunkedArray):
+        self.chars = [self.of(x.as_py()) for x in column.cast("binary")]
+
+    @staticmethod
+    def of(raw: bytes) -> np.ndarray:
+        low = raw.lower()
+        if low.isascii():
+            return np.frombuffer(low, np.uint8)
+        text = low.decode(errors="replace")
+        top = max(text)
+        return np.frombuffer(*((text.encode("latin-1"), np.uint8) if top < "\u0100" else (text.encode("utf-16-le"), np.uint16) if top < "\U00010000" else (text.encode("utf-32-le"), np.uint32)))
+
+    def divergence(self, r: np.ndarray, c: np.ndarray):
+        """functions.text.divergence of each pair."""
+        for x, y in zip(r.tolist(), c.tolist()):
+            x, y = self.chars[x], self.chars[y]
+            n, longest = min(len(x), len(y)), max(len(x), len(y))
+            yield (np.count_nonzero(x[:n] != y[:n]) + longest - n) / longest if longest else 0.0
+
+
+def contradictions(memories: DataFrame, least: float = K.CONTRADICTION_COSINE, days: int = K.CONTRADICTION_DAYS, divergence: float = K.CONTRADICTION_DIVERGENCE, limit: int | None = None) -> DataFrame:
+    """Pairs of like notes, some days apart, whose texts differ; with a limit at least the `limit` most alike of them (by
+    cosine to 6 places, then ids). Texts meet in the blocks that vectors meet in, so none is moved for a pair."""
+    side = memories.select(F.col("id").cast("long").alias("id"), "content", "embedding", T.pseudo_days(F.col("created_at")).cast("int").alias("day"))
+    notes = tiles.written(side.where("id is not null and content is not null and embedding is not null and day is not null"), "notes")
+    dealt = tiles.dealt(notes, F.lit(0), F.octet_length("content") + F.size("embedding") * 4 + 64, 0.0, TEXT_BLOCK_BYTES)
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("cosine", pa.float64()), ("divergence", pa.float64())])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(batches)
+        i, j = t["i"][0].as_py(), t["j"][0].as_py()
+        t = t.take(np.argsort(t["own"].to_numpy() != i, kind="stable"))
+        n, ids, day = int((t["own"].to_numpy() == i).sum()), t["id"].to_numpy(), t["day"].to_numpy()
+        vectors, texts, best = tiles.Vectors(t["embedding"]), _Texts(t["content"]), []
+        del t  # the texts are there as characters now
+        for r, c, s in vectors.pairs(range(n), range(n) if i == j else range(n, len(ids)), least):
+            keep = (np.abs(day[r] - day[c]) >= days) & (ids[r] != ids[c])
+            r, c, s = r[keep], c[keep], s[keep]
+            if limit is None:
+                d = np.fromiter(texts.divergence(r, c), float, len(r))
+                r, c, s, d = (x[d >= divergence] for x in (r, c, s, d))
+                yield pa.record_batch([np.minimum(ids[r], ids[c]), np.maximum(ids[r], ids[c]), s, d], schema=schema)
+                continue
+            a, b, places = np.minimum(ids[r], ids[c]), np.maximum(ids[r], ids[c]), -np.round(s, 6)
+            order = np.lexsort((b, a, places))
+            for at, d in zip(order, texts.divergence(r[order], c[order])):
+                row = (places[at], a[at], b[at], s[at], d)
+                if len(best) >= limit and row >= best[-1]:
+                    break
+                if d >= divergence:
+                    best = sorted([*best, row])[:limit]
+        if best:
+            yield pa.record_batch([np.array([x[k] for x in best]) for k in (1, 2, 3, 4)], schema=schema)
+
+    return dealt.groupBy("i", "j").applyInArrow(meet, "a long, b long, cosine double, divergence double")
 
 
 def contradiction_review(memories: DataFrame, limit: int, least: float = K.CONTRADICTION_COSINE, **options) -> DataFrame:
@@ -109,14 +166,19 @@ def save_outcomes(new: DataFrame, memories: DataFrame, cosine: float = K.DUPLICA
         n, ids, is_new, is_old = int((t["own"].to_numpy() == i).sum()), t["id"].to_numpy(), t["is_new"].to_numpy(), t["is_old"].to_numpy()
         left, right = range(n), range(n) if i == j else range(n, len(ids))
         wanted = lambda x, y: is_new[x].any() and is_old[y].any() or is_old[x].any() and is_new[y].any()
-        r, c = tiles.Sets(t["w"]).pairs(left, right, jaccard, wanted)
-        s = tiles.Vectors(t["embedding"]).cosine(r, c)
-        a, b, s = np.concatenate((r, c)), np.concatenate((c, r)), np.concatenate((s, s))
-        keep = (s >= cosine) & is_new[a] & is_old[b] & (ids[a] != ids[b])
-        a, b, s = a[keep], b[keep], s[keep]
-        best = np.lexsort((ids[b], -s, a))
-        best = best[np.diff(a[best], prepend=-1) != 0]
-        return pa.table({"new_id": ids[a[best]], "old_id": ids[b[best]], "old_category": t["category"].take(b[best]), "cosine": s[best]})
+        vectors, top, of = tiles.Vectors(t["embedding"]), np.full(len(ids), -np.inf), np.full(len(ids), -1)
+        for r, c in tiles.Sets(t["w"]).pairs(left, right, jaccard, wanted):
+            s = vectors.cosine(r, c)
+            a, b, s = np.concatenate((r, c)), np.concatenate((c, r)), np.concatenate((s, s))
+            keep = (s >= cosine) & (s >= top[a]) & is_new[a] & is_old[b] & (ids[a] != ids[b])
+            a, b, s = a[keep], b[keep], s[keep]
+            first = np.lexsort((ids[b], -s, a))
+            first = first[np.diff(a[first], prepend=-1) != 0]
+            a, b, s = a[first], b[first], s[first]
+            better = (s > top[a]) | (of[a] < 0) | (ids[b] < ids[of[a]])
+            top[a[better]], of[a[better]] = s[better], b[better]
+        a = np.flatnonzero(of >= 0)
+        return pa.table({"new_id": ids[a], "old_id": ids[of[a]], "old_category": t["category"].take(of[a]), "cosine": top[a]})
 
     found = dealt.groupBy("i", "j").applyInArrow(meet, "new_id long, old_id long, old_category string, cosine double")
     best = found.groupBy("new_id").agg(F.max_by(F.struct("old_id", "old_category", "cosine"), F.struct("cosine", (-F.col("old_id")).alias("first"))).alias("best"))

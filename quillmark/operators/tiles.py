@@ -117,6 +117,8 @@ class Sets:
         self.values, self.n = lists(column)
         self.end = np.concatenate(([0], np.cumsum(self.n)))
         self.row = np.repeat(np.arange(len(self.n)), self.n)
+        total = np.concatenate(([0], np.cumsum(self.values)))  # modulo 2**64
+        self.sum = total[self.end[1:]] - total[self.end[:-1]]
 
     def parts(self, rows: range, least: int = 64, cells: int = 1 << 20) -> list[tuple[int, int, int]]:
         """(first, end, buckets) of runs of rows: at least four buckets for each member of the largest set."""
@@ -140,9 +142,10 @@ class Sets:
         x[:, d + own[0]], x[:, d + own[1]] = -np.floor(self.n[p:q] * (j / (1 + j) * 16) - 1e-6) / 16, 1
         return x
 
-    def pairs(self, left: range, right: range, j: float, wanted) -> tuple[np.ndarray, np.ndarray]:
-        """(r, c) of all pairs with a Jaccard of at least j. Equal buckets hold at least what two sets share, so no pair is lost; what is left is counted exactly."""
-        table, found = np.zeros(1 << 22, bool), []
+    def pairs(self, left: range, right: range, j: float, wanted):
+        """(r, c) of all pairs with a Jaccard of at least j, in parts. Equal buckets hold at least what two sets share, so no
+        pair is lost; sets of one size and sum are equal, and what else is left is counted exactly."""
+        table = np.zeros(1 << 22, bool)
         ps, qs = self.parts(left), self.parts(right)
         for k, (p, pe, dp) in enumerate(ps):
             made = {}
@@ -157,8 +160,9 @@ class Sets:
                 r, c = p + hit // (qe - q), q + hit % (qe - q)
                 if p == q:
                     r, c = r[r < c], c[r < c]
-                found.append(self.exact(r, c, j, table))
-        return tuple(np.concatenate([f[k] for f in found] or [np.zeros(0, np.int64)]) for k in (0, 1))
+                equal = (self.n[r] == self.n[c]) & (self.sum[r] == self.sum[c])
+                yield r[equal], c[equal]
+                yield self.exact(r[~equal], c[~equal], j, table)
 
     def exact(self, r: np.ndarray, c: np.ndarray, j: float, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The pairs (r in order) that have a Jaccard of at least j: first by 22 bits of each member, which can only find more, then by all."""
