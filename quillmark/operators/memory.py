@@ -138,9 +138,9 @@ def contradictions(memories: DataFrame, least: float = K.CONTRADICTION_COSINE, d
 
 
 def contradiction_review(memories: DataFrame, limit: int, least: float = K.CONTRADICTION_COSINE, **options) -> DataFrame:
-    """The `limit` most alike contradictions as older_id and newer_id (by created_at, then id), similarity, divergence."""
+    """The `limit` most alike contradictions (by cosine to 6 places, then ids) as older_id and newer_id (by created_at, then id), similarity, divergence."""
     age = lambda s: memories.select(F.col("id").alias(s), F.col("created_at").alias(f"{s}_at"))
-    best = contradictions(memories, least, **options).orderBy(F.desc("cosine"), "a", "b").limit(limit)
+    best = contradictions(memories, least, limit=limit, **options).orderBy(F.round("cosine", 6).desc(), "a", "b").limit(limit)
     first = F.struct("a_at", "a") <= F.struct(F.col("b_at"), F.col("b"))
     dated = best.join(age("a"), "a").join(age("b"), "b")
     return dated.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("older_id"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("newer_id"), F.col("cosine").alias("similarity"), "divergence").orderBy(F.desc("similarity"), "older_id", "newer_id")

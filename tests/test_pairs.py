@@ -103,7 +103,14 @@ def test_contradictions_in_blocks(spark, monkeypatch, odd_notes, least):
     assert sorted(got) == sorted(best)
 
 
-@pytest.mark.parametrize("limit", [None])
+def test_review_takes_ties_by_id(spark):
+    """Both pairs are alike by 1.000000; by more places the second is more so, and it was taken once."""
+    v = [[1.0, 0.0], [1.0, 6e-4], [0.0, 1.0], [0.0, 1.0]]
+    notes = dated(spark, [(k, "ab"[k % 2], v[k], 1 + k % 2 * 20) for k in range(4)])
+    assert [tuple(r)[:2] for r in memory.contradiction_review(notes, 1).collect()] == [(0, 1)]
+
+
+@pytest.mark.parametrize("limit", [None, 5])
 def test_pairs_move_no_texts(spark, limit):
     """1200 pairs of texts of 10 kB: each pair once took both along."""
     rng = np.random.default_rng(2)
