@@ -23,8 +23,8 @@ def exact(symbols: DataFrame, name: str, hint: str | None = None) -> DataFrame:
 
 
 def similar(symbols: DataFrame, name: str, limit: int = SIMILAR) -> DataFrame:
-    """The first symbols, by path and line, whose name holds `name`."""
-    return symbols.where(F.contains(F.lower("name"), F.lit(name.lower()))).orderBy("relative_path", "start_line", "end_line", "kind").limit(limit)
+    """The first symbols, by path, line, kind and then id, whose name holds `name`."""
+    return symbols.where(F.contains(F.lower("name"), F.lit(name.lower()))).orderBy("relative_path", "start_line", "end_line", "kind", "symbol_id").limit(limit)
 
 
 def resolve_exports(found: DataFrame, symbols: DataFrame) -> DataFrame:

@@ -111,6 +111,13 @@ def test_get_symbol(spark):
     assert [r["path"] for r in lookup.dispatch(None, files, None, "special").collect()] == ["z.txt"]
 
 
+def test_similar_takes_ties_by_id(spark):
+    """Rows that path, lines and kind leave open go by id, as they stand in the table, wherever they are read."""
+    rows = [(k, f"ring {k}", "Class", 1, 2, "", "a.py") for k in range(40)]
+    for order in (rows, rows[::-1]):
+        assert [r["symbol_id"] for r in lookup.similar(spark.createDataFrame(order, SYMBOLS).repartition(5), "ring", 5).collect()] == [0, 1, 2, 3, 4]
+
+
 def test_blobs():
     x = np.random.default_rng(5).normal(size=(6, 50))
     x[3] = 0
