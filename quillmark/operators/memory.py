@@ -17,7 +17,7 @@ from quillmark.functions import vector as V
 from quillmark.operators import tiles
 
 #: Bytes of the texts and vectors that two blocks of contradictions() have each.
-TEXT_BLOCK_BYTES = 48 << 20
+TEXT_BLOCK_BYTES = 40 << 20
 
 
 def access_recency(last: Column, now: Column) -> Column:
@@ -80,8 +80,9 @@ def pairs_by_cosine(rows: DataFrame, least: float, id_col: str = "id", vec_col:
 class _Texts:
     """Texts as arrays of characters without ASCII case, each as narrow as it can be."""
 
-    def __init__(self, column: pa.ChunkedArray):
-        self.chars = [self.of(x.as_py()) for x in column.cast("binary")]
+    def __init__(self, column: pa.ChunkedArray, order: np.ndarray):
+        column = column.cast("binary")
+        self.chars = [self.of(column[k].as_py()) for k in order.tolist()]
 
     @staticmethod
     def of(raw: bytes) -> np.ndarray:
@@ -111,10 +112,10 @@ def contradictions(memories: DataFrame, least: float = K.CONTRADICTION_COSINE, d
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(batches)
         i, j = t["i"][0].as_py(), t["j"][0].as_py()
-        t = t.take(np.argsort(t["own"].to_numpy() != i, kind="stable"))
+        order = np.argsort(t["own"].to_numpy() != i, kind="stable")
+        texts, t = _Texts(t["content"], order), t.drop_columns("content").take(order)
         n, ids, day = int((t["own"].to_numpy() == i).sum()), t["id"].to_numpy(), t["day"].to_numpy()
-        vectors, texts, best = tiles.Vectors(t["embedding"]), _Texts(t["content"]), []
-        del t  # the texts are there as characters now
+        vectors, best = tiles.Vectors(t["embedding"]), []
         for r, c, s in vectors.pairs(range(n), range(n) if i == j else range(n, len(ids)), least):
             keep = (np.abs(day[r] - day[c]) >= days) & (ids[r] != ids[c])
             r, c, s = r[keep], c[keep], s[keep]
@@ -156,7 +157,7 @@ def save_outcomes(new: DataFrame, memories: DataFrame, cosine: float = K.DUPLICA
         raise ValueError("jaccard is above 0")
     words = lambda d, is_new, is_old: d.select("id", "category", "embedding", F.array_sort(F.array_distinct(F.transform(T.token_set(F.col("content")), lambda x: F.xxhash64(x)))).alias("w"), F.lit(is_new).alias("is_new"), F.lit(is_old).alias("is_old"))
     notes = tiles.written(words(new, True, True) if new is memories else words(new, True, False).unionByName(words(memories, False, True)), "notes")
-    weight = F.size("w") * 8 + F.size("embedding") * 4 + 64
+    weight = F.size("w") * 8 + F.size("embedding") * 8 + 64
     dealt = tiles.dealt(notes.where("w is not null and embedding is not null"), F.size("w"), weight, jaccard)
 
     def meet(t: pa.Table) -> pa.Table:
@@ -166,8 +167,9 @@ def save_outcomes(new: DataFrame, memories: DataFrame, cosine: float = K.DUPLICA
         n, ids, is_new, is_old = int((t["own"].to_numpy() == i).sum()), t["id"].to_numpy(), t["is_new"].to_numpy(), t["is_old"].to_numpy()
         left, right = range(n), range(n) if i == j else range(n, len(ids))
         wanted = lambda x, y: is_new[x].any() and is_old[y].any() or is_old[x].any() and is_new[y].any()
-        vectors, top, of = tiles.Vectors(t["embedding"]), np.full(len(ids), -np.inf), np.full(len(ids), -1)
-        for r, c in tiles.Sets(t["w"]).pairs(left, right, jaccard, wanted):
+        vectors, sets, category, top, of = tiles.Vectors(t["embedding"]), tiles.Sets(t["w"]), t["category"], np.full(len(ids), -np.inf), np.full(len(ids), -1)
+        del t
+        for r, c in sets.pairs(left, right, jaccard, wanted):
             s = vectors.cosine(r, c)
             a, b, s = np.concatenate((r, c)), np.concatenate((c, r)), np.concatenate((s, s))
             keep = (s >= cosine) & (s >= top[a]) & is_new[a] & is_old[b] & (ids[a] != ids[b])
@@ -178,7 +180,7 @@ def save_outcomes(new: DataFrame, memories: DataFrame, cosine: float = K.DUPLICA
             better = (s > top[a]) | (of[a] < 0) | (ids[b] < ids[of[a]])
             top[a[better]], of[a[better]] = s[better], b[better]
         a = np.flatnonzero(of >= 0)
-        return pa.table({"new_id": ids[a], "old_id": ids[of[a]], "old_category": t["category"].take(of[a]), "cosine": top[a]})
+        return pa.table({"new_id": ids[a], "old_id": ids[of[a]], "old_category": category.take(of[a]), "cosine": top[a]})
 
     found = dealt.groupBy("i", "j").applyInArrow(meet, "new_id long, old_id long, old_category string, cosine double")
     best = found.groupBy("new_id").agg(F.max_by(F.struct("old_id", "old_category", "cosine"), F.struct("cosine", (-F.col("old_id")).alias("first"))).alias("best"))

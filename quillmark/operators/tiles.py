@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of a block at most (rows of one size apart), and blocks that a small input is cut into.
-BLOCK_BYTES, LEAST_BLOCKS = 32 << 20, 6
+BLOCK_BYTES, LEAST_BLOCKS = 24 << 20, 6
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -116,9 +116,9 @@ class Sets:
     def __init__(self, column: pa.ChunkedArray):
         self.values, self.n = lists(column)
         self.end = np.concatenate(([0], np.cumsum(self.n)))
-        self.row = np.repeat(np.arange(len(self.n)), self.n)
-        total = np.concatenate(([0], np.cumsum(self.values)))  # modulo 2**64
-        self.sum = total[self.end[1:]] - total[self.end[:-1]]
+        self.sum, some = np.zeros(len(self.n), np.int64), self.n > 0
+        if some.any():
+            self.sum[some] = np.add.reduceat(self.values, self.end[:-1][some])  # modulo 2**64
 
     def parts(self, rows: range, least: int = 64, cells: int = 1 << 20) -> list[tuple[int, int, int]]:
         """(first, end, buckets) of runs of rows: at least four buckets for each member of the largest set."""
@@ -138,7 +138,7 @@ class Sets:
         """Members of rows p to q by bucket, and two columns by which a product of two rows also takes off what Jaccard j needs (in sixteenths, so sums are exact)."""
         s = slice(self.end[p], self.end[q])
         x = np.empty((q - p, d + 2), np.float64 if self.n[p:q].max() >> 18 else np.float32)
-        x[:, :d] = np.bincount((self.row[s] - p) * d + (self.values[s] & (d - 1)), minlength=(q - p) * d).reshape(q - p, d)
+        x[:, :d] = np.bincount(np.repeat(np.arange(q - p), self.n[p:q]) * d + (self.values[s] & (d - 1)), minlength=(q - p) * d).reshape(q - p, d)
         x[:, d + own[0]], x[:, d + own[1]] = -np.floor(self.n[p:q] * (j / (1 + j) * 16) - 1e-6) / 16, 1
         return x
 
